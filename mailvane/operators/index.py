@@ -27,8 +27,27 @@ TERM_BUCKETS = 64
 
 @dataclass(frozen=True)
 class MailIndex:
+    """Postings and document lengths.
+
+    ``postings`` may carry ``positions``; when it does not, ``source`` (the
+    indexed messages) lets phrase queries recompute positions for just the
+    phrase terms: a scan and explode filtered by a small term set, no
+    shuffle of the corpus.
+    """
     postings: DataFrame
     doc_len: DataFrame
+    source: DataFrame | None = None
+
+    def occurrences(self, terms: DataFrame) -> DataFrame:
+        """``term, folder, uid, col, pos`` for the given ``terms(term)``."""
+        t = terms.select("term").distinct()
+        if "positions" in self.postings.columns:
+            return (self.postings.join(t, "term", "left_semi")
+                    .select("term", "folder", "uid", F.explode("positions").alias("p"))
+                    .select("term", "folder", "uid", F.col("p.col").alias("col"), F.col("p.pos").alias("pos")))
+        if self.source is None:
+            raise ValueError("phrase search needs positions in the postings or the indexed messages")
+        return _occurrences(_tokens(self.source)).join(t, "term", "left_semi")
 
     def term_stats(self) -> DataFrame:
         """Document frequency per term (A4)."""
@@ -56,31 +75,38 @@ def doc_lengths(messages: DataFrame) -> DataFrame:
         "folder", "uid", (F.size("s_terms") + F.size("b_terms")).alias("len"))
 
 
-def build_postings(messages: DataFrame, with_positions: bool = True) -> DataFrame:
-    """Postings of ``messages(folder, uid, subject, body)``."""
-    toks = _tokens(messages)
-
+def _occurrences(toks: DataFrame) -> DataFrame:
     def tagged(arr: str, col: int):
         return F.transform(F.col(arr), lambda t, i: F.struct(
             t.alias("term"), F.lit(col).alias("col"), i.cast("int").alias("pos")))
 
-    occ = toks.select(
+    return toks.select(
         "folder", "uid",
         F.explode(F.concat(tagged("s_terms", 0), tagged("b_terms", 1))).alias("o"),
-    ).select("folder", "uid", "o.term", "o.col", "o.pos")
+    ).select("o.term", "folder", "uid", "o.col", "o.pos")
+
+
+def build_postings(messages: DataFrame, with_positions: bool = True) -> DataFrame:
+    """Postings of ``messages(folder, uid, subject, body)``."""
+    occ = _occurrences(_tokens(messages))
     aggs = [F.count(F.lit(1)).cast("int").alias("tf")]
     if with_positions:
         aggs.append(F.array_sort(F.collect_list(F.struct("col", "pos"))).alias("positions"))
     return occ.groupBy("term", "folder", "uid").agg(*aggs)
 
 
-def build_index(messages: DataFrame, with_positions: bool = True) -> MailIndex:
-    """Index of ``messages``; blocked rows are indexed with their (empty) body."""
-    return MailIndex(build_postings(messages, with_positions), doc_lengths(messages))
+def build_index(messages: DataFrame, with_positions: bool = False) -> MailIndex:
+    """Index of ``messages``; blocked rows are indexed with their (empty) body.
+
+    Without ``with_positions`` the index keeps a reference to ``messages``
+    for phrase queries instead of storing every position.
+    """
+    return MailIndex(build_postings(messages, with_positions), doc_lengths(messages),
+                     None if with_positions else messages)
 
 
 def refresh_index(index: MailIndex, touched: DataFrame, removed_folders: DataFrame | None = None,
-                  with_positions: bool = True) -> MailIndex:
+                  with_positions: bool = False, messages: DataFrame | None = None) -> MailIndex:
     """Replace the entries of touched messages and of reset folders.
 
     ``touched`` holds the new content of upserted messages. Entries of other
@@ -95,7 +121,8 @@ def refresh_index(index: MailIndex, touched: DataFrame, removed_folders: DataFra
         post = post.join(rf, "folder", "left_anti")
         lens = lens.join(rf, "folder", "left_anti")
     fresh = build_index(touched, with_positions)
-    return MailIndex(post.unionByName(fresh.postings), lens.unionByName(fresh.doc_len))
+    return MailIndex(post.unionByName(fresh.postings), lens.unionByName(fresh.doc_len),
+                     None if with_positions else messages)
 
 
 def write_index(index: MailIndex, path: str) -> str:
@@ -113,8 +140,9 @@ def write_index(index: MailIndex, path: str) -> str:
     return path
 
 
-def read_index(spark: SparkSession, path: str) -> MailIndex:
-    return MailIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_len"))
+def read_index(spark: SparkSession, path: str, messages: DataFrame | None = None) -> MailIndex:
+    """A written index; ``messages`` serves phrase queries when no positions were stored."""
+    return MailIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_len"), messages)
 
 
 def term_bucket(term):

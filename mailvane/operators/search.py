@@ -44,14 +44,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
             .withColumn("m", F.size("terms")))
 
 
-def _phrase_hits(qt: DataFrame, postings: DataFrame) -> DataFrame:
+def _phrase_hits(qt: DataFrame, index: MailIndex) -> DataFrame:
     """Occurrences of multi-term phrases: rows ``query_id, i, folder, uid, f`` over all folders."""
     parts = qt.filter(F.col("m") > 1).select(
         "query_id", "i", "m", F.posexplode("terms").alias("j", "term"))
-    occ = (parts.join(postings.select("term", "folder", "uid", "positions"), "term")
-           .select("query_id", "i", "m", "j", "folder", "uid", F.explode("positions").alias("p")))
-    starts = (occ.groupBy("query_id", "i", "folder", "uid", F.col("p.col").alias("col"),
-                          (F.col("p.pos") - F.col("j")).alias("start"))
+    occ = parts.join(index.occurrences(parts.select("term")), "term")
+    starts = (occ.groupBy("query_id", "i", "folder", "uid", "col",
+                          (F.col("pos") - F.col("j")).alias("start"))
               .agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m"))
               .filter(F.col("k") == F.col("m")))
     return starts.groupBy("query_id", "i", "folder", "uid").agg(F.count(F.lit(1)).alias("f"))
@@ -81,7 +80,7 @@ def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None =
              .join(df_single, "term")
              .select("query_id", "i", "folder", "uid", "f", "n"))
 
-    ph = _phrase_hits(qt, post)
+    ph = _phrase_hits(qt, index)
     ph_n = ph.groupBy("query_id", "i").agg(F.count(F.lit(1)).alias("n"))
     hits_m = (ph.join(q.select("query_id", F.col("folder").alias("q_folder")), "query_id")
               .filter(F.col("folder") == F.col("q_folder")).drop("q_folder")

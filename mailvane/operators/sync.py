@@ -238,8 +238,8 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
                       indexed, reset_folders)
 
 
-def refresh_index_after(index, result: SyncResult, with_positions: bool = True):
+def refresh_index_after(index, result: SyncResult, with_positions: bool = False):
     """Postings refresh for a sync result (I8 + I6)."""
     from .index import refresh_index
 
-    return refresh_index(index, result.indexed, result.reset_folders, with_positions)
+    return refresh_index(index, result.indexed, result.reset_folders, with_positions, result.messages)

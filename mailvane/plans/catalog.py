@@ -299,8 +299,12 @@ def _queries_df(spark, rows):
 
 
 def _bm25_sql(rows, phrase: bool = False) -> str:
-    """Ranked index hits; phrases (``a_b``) need adjacent terms in one column."""
-    qv = o.values_sql(rows, ["query_id", "folder", "query", "lim"])
+    """Ranked index hits; phrases (``a_b``) need adjacent terms in one column.
+
+    ``rows`` is a list of (query_id, folder, query, limit) or a SQL subquery
+    with those columns (``lim`` for the limit).
+    """
+    qv = f"({rows}) AS t" if isinstance(rows, str) else o.values_sql(rows, ["query_id", "folder", "query", "lim"])
     return f"""
 WITH {o.MESSAGES_CTE},
 cols AS (SELECT folder, uid, 0 AS c, {o.terms_sql('subject')} AS l FROM m
@@ -385,6 +389,28 @@ register("search_switch", _switch_sql(SWITCH_QUERIES))(
     lambda spark, d: _ranked(spark, d, SWITCH_QUERIES, fallback=True)
     .select("query_id", "folder", "uid", "score", "rank"))
 
+def benchmark_queries(spark, d):
+    """One query per ``benchmark`` passage: its first three tokens, in folder src<item_id mod 20>."""
+    from ..functions.text import query_tokens
+    b = tables.read_table(spark, d, "benchmark")
+    return b.select(F.col("item_id").alias("query_id"),
+                    F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("folder"),
+                    F.array_join(F.slice(query_tokens("text"), 1, 3), " ").alias("query"),
+                    F.lit(10).alias("limit"))
+
+
+BENCH_QUERIES_SQL = (f"SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS folder, "
+                     f"array_to_string(regexp_extract_all(text, {o.q(o.QTOKEN)})[1:3], ' ') AS query, 10 AS lim "
+                     f"FROM benchmark")
+
+
+@register("search_batch", _bm25_sql(BENCH_QUERIES_SQL))
+def search_batch(spark, d):
+    msgs = indexed(spark, d)
+    return search.search(ix.build_index(msgs), msgs, benchmark_queries(spark, d), score_digits=6,
+                         with_excerpt=False, fallback=False).select("query_id", "folder", "uid", "score", "rank")
+
+
 # excerpts: no SQL form of the window choice; checked against a brute-force helper in tests
 register("search_snippet")(
     lambda spark, d: _ranked(spark, d, SEARCH_QUERIES + PHRASE_QUERIES, fallback=True, with_excerpt=True))

@@ -48,8 +48,23 @@ LISTING_SCHEMA = T.StructType([
 ])
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, df.columns[0]) if spread_out else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition a scan that yields fewer partitions than the cluster has cores.
+
+    Text work (regex tokenising, MIME parsing) is CPU-bound per row; a table
+    stored as one row group is read by one task. On a large multi-file scan
+    the partition count already exceeds the parallelism and nothing is
+    added, so no shuffle is paid at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores * 2, key)
 
 
 def subject_of(text: Column) -> Column:
