@@ -56,18 +56,28 @@ def _phrase_hits(qt: DataFrame, index: MailIndex) -> DataFrame:
     return starts.groupBy("query_id", "i", "folder", "uid").agg(F.count(F.lit(1)).alias("f"))
 
 
-def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def has_phrases(queries: DataFrame) -> bool:
+    """Whether any query token is a multi-term phrase (a small job on the query batch only)."""
+    return not query_terms(queries).filter(F.col("m") > 1).isEmpty()
+
+
+def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None = None,
+                phrases: bool | None = None) -> DataFrame:
     """Scores of every message that holds all tokens of a query.
 
     Returns ``query_id, folder, uid, score``; more negative is better. N,
     average length and document frequencies cover the whole index (all
     folders, soft-deleted rows included); results are restricted to the
     query's folder only after that. ``stats`` may be a precomputed one-row
-    ``corpus_stats()`` table.
+    ``corpus_stats()`` table. ``phrases=False`` leaves out the phrase branch
+    (which rescans the corpus for positions when the index stores none);
+    ``None`` decides from the batch.
     """
     cs = stats if stats is not None else index.corpus_stats()
-    n_docs = cs.select("n_docs").scalar()
-    avgdl = cs.select("avgdl").scalar()
+    st = cs.select(F.struct("n_docs", "avgdl")).scalar()
+    n_docs, avgdl = st.getField("n_docs"), st.getField("avgdl")
+    if phrases is None:
+        phrases = has_phrases(queries)
 
     q = queries.select("query_id", "folder", F.size(query_tokens("query")).alias("n_tokens"))
     qt = query_terms(queries)
@@ -80,14 +90,16 @@ def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None =
              .join(df_single, "term")
              .select("query_id", "i", "folder", "uid", "f", "n"))
 
-    ph = _phrase_hits(qt, index)
-    ph_n = ph.groupBy("query_id", "i").agg(F.count(F.lit(1)).alias("n"))
-    hits_m = (ph.join(q.select("query_id", F.col("folder").alias("q_folder")), "query_id")
-              .filter(F.col("folder") == F.col("q_folder")).drop("q_folder")
-              .join(ph_n, ["query_id", "i"])
-              .select("query_id", "i", "folder", "uid", "f", "n"))
-
-    hits = hits1.unionByName(hits_m).join(index.doc_len, ["folder", "uid"])
+    hits = hits1
+    if phrases:
+        ph = _phrase_hits(qt, index)
+        ph_n = ph.groupBy("query_id", "i").agg(F.count(F.lit(1)).alias("n"))
+        hits_m = (ph.join(q.select("query_id", F.col("folder").alias("q_folder")), "query_id")
+                  .filter(F.col("folder") == F.col("q_folder")).drop("q_folder")
+                  .join(ph_n, ["query_id", "i"])
+                  .select("query_id", "i", "folder", "uid", "f", "n"))
+        hits = hits.unionByName(hits_m)
+    hits = hits.join(index.doc_len, ["folder", "uid"])
     raw_idf = F.log((n_docs - F.col("n") + F.lit(0.5)) / (F.col("n") + F.lit(0.5)))
     idf = F.when(raw_idf <= 0, F.lit(IDF_FLOOR)).otherwise(raw_idf)
     f = F.col("f").cast("double")
@@ -163,14 +175,21 @@ def excerpt_column(body: Column, phrases: Column, n_tokens: int = SNIPPET_TOKENS
 def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
            default_limit: int = 20, score_digits: int | None = None, with_excerpt: bool = True,
            fallback: bool = True, redact_output: bool = True, extra_patterns=None,
-           stats: DataFrame | None = None) -> DataFrame:
+           stats: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Ranked, redacted search for ``queries(query_id, folder, query[, limit])``.
 
     ``messages`` is the index table (``folder, uid, subject, sender, date,
     body, is_deleted, body_index_blocked, block_reason``). Ranking is score
     ascending, then uid descending; with ``score_digits`` the score is rounded
     before ranking and output.
+
+    With ``materialize`` the ranked index hits (at most ``limit`` rows per
+    query) are checkpointed to the shared checkpoint folder. The fallback
+    then sees which queries are unanswered from that small table, and the
+    LIKE scan of the message bodies is skipped when every query was answered.
     """
+    if int(default_limit) < 1:
+        raise ValueError("limit must be greater than 0")
     extra = validate_patterns(extra_patterns)
     q = queries.select("query_id", "folder", "query",
                        (F.col("limit") if "limit" in queries.columns else F.lit(default_limit))
@@ -185,6 +204,12 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     ranked = (scored.join(q.select("query_id", "q_limit"), "query_id")
               .withColumn("rank", F.row_number().over(w))
               .filter(F.col("rank") <= F.col("q_limit")).drop("q_limit"))
+    if materialize:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(ranked.sparkSession)
+        ranked = ranked.checkpoint(eager=True)
+    answered = ranked.select("query_id")
 
     if with_excerpt:
         phrases = (query_terms(q).groupBy("query_id")
@@ -199,14 +224,23 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
 
     out = ranked
     if fallback:
-        out = out.unionByName(fallback_search(messages, q, ranked.select("query_id"), with_excerpt))
+        pending = _unanswered(q, answered)
+        if not (materialize and pending.isEmpty()):
+            out = out.unionByName(fallback_search(messages, pending, None, with_excerpt))
     out = out.select(*RESULT_COLUMNS)
     if redact_output:
         out = out.withColumns({c: redact(c, extra) for c in ("subject", "sender", "excerpt")})
     return out
 
 
-def fallback_search(messages: DataFrame, queries: DataFrame, answered: DataFrame,
+def _unanswered(queries: DataFrame, answered: DataFrame | None) -> DataFrame:
+    q = queries if answered is None else queries.join(answered.select("query_id").distinct(), "query_id",
+                                                      "left_anti")
+    return (q.withColumn("tokens", F.transform(query_tokens("query"), lambda t: ascii_lower(t)))
+            .filter(F.size("tokens") > 0))
+
+
+def fallback_search(messages: DataFrame, queries: DataFrame, answered: DataFrame | None,
                     with_excerpt: bool = True) -> DataFrame:
     """LIKE scan for queries the index did not answer.
 
@@ -215,9 +249,7 @@ def fallback_search(messages: DataFrame, queries: DataFrame, answered: DataFrame
     Score 0.0, newest first, ``limit`` rows. Queries without tokens get
     nothing.
     """
-    q = (queries.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-         .withColumn("tokens", F.transform(query_tokens("query"), lambda t: ascii_lower(t)))
-         .filter(F.size("tokens") > 0))
+    q = queries if "tokens" in queries.columns and answered is None else _unanswered(queries, answered)
     m = messages.filter(~F.col("is_deleted")).select(
         "folder", "uid", "subject", "sender", "date", "body", "is_deleted", "body_index_blocked",
         "block_reason")
