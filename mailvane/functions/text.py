@@ -65,6 +65,7 @@ def _diacritic_table(first: int = 0x00C0, last: int = 0x024F) -> tuple[str, str]
 
 
 DIACRITIC_SRC, DIACRITIC_DST = _diacritic_table()
+_FOLD_TABLE = str.maketrans(DIACRITIC_SRC, DIACRITIC_DST)
 
 
 def fold_for_index(c: Column | str) -> Column:
@@ -74,7 +75,7 @@ def fold_for_index(c: Column | str) -> Column:
 
 def fold_python(value: str) -> str:
     """The same folding in Python, for per-row helpers that must agree with it."""
-    return value.lower().translate(str.maketrans(DIACRITIC_SRC, DIACRITIC_DST))
+    return value.lower().translate(_FOLD_TABLE)
 
 
 def index_terms(c: Column | str) -> Column:

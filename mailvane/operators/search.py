@@ -121,7 +121,12 @@ def _excerpt_udf(n_tokens: int = SNIPPET_TOKENS):
     def one(body, phrases) -> str:
         if not body:
             return ""
-        toks = [(m.start(), m.end(), fold_python(m.group())) for m in term_re.finditer(body)]
+        spans = [m.span() for m in term_re.finditer(body)]
+        folded = fold_python(body)
+        if len(folded) == len(body):  # folding kept every offset: slice once-folded text
+            toks = [(a, b, folded[a:b]) for a, b in spans]
+        else:
+            toks = [(a, b, fold_python(body[a:b])) for a, b in spans]
         ncol = len(toks)
         if ncol == 0:
             return ""
