@@ -129,10 +129,13 @@ def write_index(index: MailIndex, path: str) -> str:
     """Persist the index.
 
     Postings are partitioned by a hash bucket of the term and sorted by term
-    inside the files, so a lookup for a few terms reads few buckets (dynamic
-    partition pruning on ``term_bucket``) and few row groups (min/max stats).
+    inside the files, so term filters skip row groups (min/max statistics)
+    and bucket filters skip folders. A rebalance before the write lets AQE
+    split a bucket made large by a hot term and merge small ones, so the
+    file count follows the data size rather than tasks x buckets.
     """
     (index.postings.withColumn("term_bucket", term_bucket(F.col("term")))
+     .hint("rebalance", "term_bucket")          # AQE: split hot buckets, merge small ones
      .sortWithinPartitions("term_bucket", "term")
      .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
     (index.doc_len.sortWithinPartitions("folder", "uid")

@@ -155,7 +155,8 @@ def build_worklist(listing: DataFrame, messages: DataFrame, decisions: DataFrame
 
 
 def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: DataFrame,
-         opts: SyncOptions = SyncOptions(), run_ts: Column | str | None = None) -> SyncResult:
+         opts: SyncOptions = SyncOptions(), run_ts: Column | str | None = None,
+         materialize: bool = True) -> SyncResult:
     """Synchronise the index of every listed folder in one pass.
 
     ``listing(folder, uid, uidvalidity, listing_ok)``: what each folder
@@ -166,11 +167,22 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     Order of effects matches the original: reset, upsert, checkpoint,
     full check. The caller writes messages and postings before the state,
     so a crash replays a run instead of skipping messages.
+
+    With ``materialize`` the per-folder decisions and the fetched work list
+    (bounded by the slice limits per folder) are checkpointed to the shared
+    checkpoint folder, so writing messages, postings, state and metrics does
+    not recompute them, and a lost executor does not send the run back to
+    the listing.
     """
     opts.validate()
     ts = F.lit(run_ts).cast("timestamp") if isinstance(run_ts, str) else (
         run_ts if run_ts is not None else F.current_timestamp())
     d = folder_decisions(listing, messages, state, opts, ts)
+    if materialize:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(listing.sparkSession)
+        d = d.checkpoint(eager=True)
     work = build_worklist(listing, messages, d, opts)
 
     ok = F.coalesce(F.col("ok"), F.lit(True)) if "ok" in source.columns else F.lit(True)
@@ -178,6 +190,9 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
                         "truncated", ok.alias("ok"), F.lit(True).alias("found"))
     fetched = (work.join(src, ["folder", "uid"], "left")
                .withColumn("ok", F.coalesce(F.col("found"), F.lit(False)) & F.coalesce(F.col("ok"), F.lit(False))))
+    if materialize:
+        fetched = fetched.checkpoint(eager=True)
+        work = fetched.select("folder", "uid", "reason", "checkpoint")
     keywords = None if opts.allow_blocked_body else opts.keywords
     epochs = d.select("folder", "cur_epoch")
     indexed = (apply_index_policy(fetched.filter("ok"), keywords, opts.block_reason)
