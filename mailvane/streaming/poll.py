@@ -6,9 +6,9 @@
 * ST3: per-folder position and epoch kept in streaming state
   (``applyInPandasWithState`` keyed by folder): rows above the stored uid
   pass; an epoch change or an unknown epoch restarts the folder.
-* ST2: ``foreachBatch`` keyed upsert of each micro-batch into the index
-  table; the write of batch ``n`` goes to its own folder first and the table
-  is switched after, so a replayed batch overwrites instead of duplicating.
+* ST2: ``foreachBatch`` keyed upsert of each micro-batch into the
+  folder-partitioned index table; only touched folders are rewritten, and a
+  replayed batch rewrites the same rows instead of duplicating them.
 * ST4: ``maxFilesPerTrigger`` bounds the work per micro-batch.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import scratch_path
+from ..session import checkpoint_dir, scratch_path
 
 GATE_STATE = T.StructType([
     T.StructField("last_uid", T.LongType()),
@@ -90,30 +90,35 @@ def run_to_table(stream: DataFrame, table_path: str, checkpoint_location: str |
 
 def upsert_batches(stream: DataFrame, table_root: str, key=("folder", "uid"),
                    checkpoint_location: str | None = None, order_col: str = "synced_at") -> str:
-    """Keyed upsert of every micro-batch into a snapshot table (ST2).
+    """Keyed upsert of every micro-batch into a folder-partitioned table (ST2).
 
-    Each batch writes ``{table_root}/v={batch_id}`` from the previous
-    version minus the batch's keys plus the batch (last write per key wins
-    inside a batch). A replayed batch id rewrites the same version. Returns
-    the path of the last version written.
+    Per batch: the current rows of the folders the batch touches, minus the
+    batch's keys, plus the batch (last write per key wins inside a batch),
+    checkpointed and written back with dynamic partition overwrite. Only
+    touched folders are rewritten; a replayed batch produces the same rows.
+    Returns ``table_root``.
     """
     spark = stream.sparkSession
     ck = checkpoint_location or scratch_path(spark, "upsert-ckpt")
-    latest = {"path": None}
+    checkpoint_dir(spark)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         from pyspark.sql import Window
 
         w = Window.partitionBy(*key).orderBy(F.col(order_col).desc_nulls_last())
         fresh = batch.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-        target = f"{table_root}/v={batch_id:012d}"
-        prev = latest["path"]
-        if prev is not None and prev != target:
-            old = batch.sparkSession.read.parquet(prev)
-            fresh = old.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(target)
-        latest["path"] = target
+        rows = fresh
+        try:
+            current = batch.sparkSession.read.parquet(table_root)
+        except Exception:  # first batch: nothing written yet
+            current = None
+        if current is not None:
+            old = current.join(fresh.select("folder").distinct(), "folder", "left_semi")
+            rows = old.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)
+        rows = rows.checkpoint(eager=True)
+        (rows.hint("rebalance", "folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("folder").parquet(table_root))
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
-    return latest["path"]
+    return table_root
