@@ -221,7 +221,10 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
                    .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "terms"))),
                                     lambda s: s["terms"]).alias("phrases")))
         bodies = messages.select("folder", "uid", "body")
+        # the excerpt helper is CPU-bound Python: spread the (bounded) result rows over all cores
+        spread_n = max(ranked.sparkSession.sparkContext.defaultParallelism, 1)
         ranked = (ranked.join(bodies, ["folder", "uid"]).join(phrases, "query_id")
+                  .repartition(spread_n, "query_id", "uid")
                   .withColumn("excerpt", shorten(excerpt_column(F.col("body"), F.col("phrases"))))
                   .drop("body", "phrases"))
     else:
@@ -255,13 +258,14 @@ def fallback_search(messages: DataFrame, queries: DataFrame, answered: DataFrame
     nothing.
     """
     q = queries if "tokens" in queries.columns and answered is None else _unanswered(queries, answered)
+    # fold each message once, before the join multiplies it by the folder's pending queries
     m = messages.filter(~F.col("is_deleted")).select(
         "folder", "uid", "subject", "sender", "date", "body", "is_deleted", "body_index_blocked",
-        "block_reason")
-    subj, body = ascii_lower(F.col("subject")), ascii_lower(F.coalesce(F.col("body"), F.lit("")))
-    cond = F.forall("tokens", lambda t: F.like(subj, F.concat(F.lit("%"), t, F.lit("%")))
-                    | F.like(body, F.concat(F.lit("%"), t, F.lit("%"))))
-    hits = m.join(q, "folder").filter(cond)
+        "block_reason", ascii_lower(F.col("subject")).alias("_subj"),
+        ascii_lower(F.coalesce(F.col("body"), F.lit(""))).alias("_body"))
+    cond = F.forall("tokens", lambda t: F.like(F.col("_subj"), F.concat(F.lit("%"), t, F.lit("%")))
+                    | F.like(F.col("_body"), F.concat(F.lit("%"), t, F.lit("%"))))
+    hits = m.join(q, "folder").filter(cond).drop("_subj", "_body")
     w = Window.partitionBy("query_id").orderBy(F.col("uid").desc())
     top = (hits.withColumn("rank", F.row_number().over(w))
            .filter(F.col("rank") <= F.col("q_limit")))
