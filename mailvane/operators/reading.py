@@ -81,11 +81,8 @@ def read_bodies(messages: DataFrame, bodies: DataFrame | None, keys: DataFrame,
     _check_positive("max_chars", max_chars)
     extra = validate_patterns(extra_patterns)
     k = keys.select("folder", "uid")
-    heads = (messages.select(*HEADER_COLUMNS, *(["body_text_type", "truncated"] if bodies is not None else []))
-             .join(k, ["folder", "uid"], "left_semi"))
-    if bodies is None:
-        heads = messages.select(*HEADER_COLUMNS, "body", "body_text_type", "truncated").join(
-            k, ["folder", "uid"], "left_semi")
+    body_cols = ["body_text_type", "truncated"] if bodies is not None else ["body", "body_text_type", "truncated"]
+    heads = messages.select(*HEADER_COLUMNS, *body_cols).join(k, ["folder", "uid"], "left_semi")
     blocked = policy.contains_keyword("subject", keywords) & F.lit(not allow_blocked_body)
     heads = heads.withColumn("blocked", blocked)
 
@@ -142,15 +139,23 @@ def body_search(messages: DataFrame, queries: DataFrame, max_body_chars: int | N
         (F.col("limit") if "limit" in queries.columns else F.lit(default_limit)).alias("q_limit"),
         (F.col("max_scan") if "max_scan" in queries.columns else F.lit(default_max_scan)).alias("q_scan"),
     ).withColumn("q_folded", casefold("query", exact_casefold))
-    # one scan window per folder wide enough for its widest query
+    # Slice keys only, with a literal bound so Spark plans a partial WindowGroupLimit before the
+    # shuffle (a hot folder sends at most `bound` keys per map task); bodies are joined afterwards,
+    # for the sliced keys only. The bound is the widest max_scan of the (small) query batch.
+    bound = q.agg(F.max("q_scan")).first()[0]
+    if bound is None:
+        bound = 0
+    _check_positive("max_scan", bound if bound else None)
     scan_n = q.groupBy("folder").agg(F.max("q_scan").alias("scan_n"))
     cols = list(HEADER_COLUMNS) + ["body", "body_text_type", "truncated"]
     ok = F.col("ok") if "ok" in messages.columns else F.lit(True)
     w = Window.partitionBy("folder").orderBy(F.col("uid").desc())
-    ranked = (messages.select(*cols, ok.alias("ok"))
-              .withColumn("scan_rank", F.row_number().over(w))
-              .join(scan_n, "folder")
-              .filter(F.col("scan_rank") <= F.col("scan_n")))
+    keys = (messages.join(scan_n.select("folder"), "folder", "left_semi").select("folder", "uid")
+            .withColumn("scan_rank", F.row_number().over(w))
+            .filter(F.col("scan_rank") <= F.lit(int(bound)))
+            .join(scan_n, "folder")
+            .filter(F.col("scan_rank") <= F.col("scan_n")))
+    ranked = keys.join(messages.select(*cols, ok.alias("ok")), ["folder", "uid"])
     skip = policy.contains_keyword("subject", keywords, exact_casefold) & F.lit(not allow_blocked_body)
     hits = (ranked.join(q, "folder")
             .filter(F.col("scan_rank") <= F.col("q_scan"))

@@ -70,3 +70,13 @@ def test_window_group_limit_in_plan(spark):
     src = source(spark, range(1, 50))
     plan = reading.recent_messages(src, 3, KW)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan or "TakeOrderedAndProject" in plan
+
+
+def test_body_search_plans_group_limit_and_late_body_join(spark):
+    src = source(spark, range(1, 50))
+    q = spark.createDataFrame([(1, "INBOX", "body", 2, 5)],
+                              "query_id long, folder string, query string, limit int, max_scan int")
+    df = reading.body_search(src, q, 10, False, KW)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert sorted(r["uid"] for r in df.collect()) == [48, 49]
