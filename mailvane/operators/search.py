@@ -201,14 +201,20 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
                        .cast("int").alias("q_limit"))
     heads = messages.filter(~F.col("is_deleted")).select(
         "folder", "uid", "subject", "sender", "date", "is_deleted", "body_index_blocked", "block_reason")
+    active_keys = messages.filter(~F.col("is_deleted")).select("folder", "uid")
+    bound = _limit_bound(q)
 
+    # top-k on (query, message, score) only: the literal bound lets Spark cut each map task to
+    # `bound` rows per query before the shuffle; headers are joined for the survivors
     scored = (bm25_scores(index, q, stats)
-              .join(heads, ["folder", "uid"])
+              .join(active_keys, ["folder", "uid"], "left_semi")
               .withColumn("score", _rounded(F.col("score"), score_digits)))
     w = Window.partitionBy("query_id").orderBy(F.col("score").asc(), F.col("uid").desc())
-    ranked = (scored.join(q.select("query_id", "q_limit"), "query_id")
-              .withColumn("rank", F.row_number().over(w))
-              .filter(F.col("rank") <= F.col("q_limit")).drop("q_limit"))
+    ranked = (scored.withColumn("rank", F.row_number().over(w))
+              .filter(F.col("rank") <= F.lit(bound))
+              .join(q.select("query_id", "q_limit"), "query_id")
+              .filter(F.col("rank") <= F.col("q_limit")).drop("q_limit")
+              .join(heads, ["folder", "uid"]))
     if materialize:
         from ..session import checkpoint_dir
 
@@ -241,6 +247,12 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     return out
 
 
+def _limit_bound(queries: DataFrame) -> int:
+    """Largest ``q_limit`` of a query batch (a tiny job on the batch), used as a literal top-k bound."""
+    bound = queries.agg(F.max("q_limit")).first()[0]
+    return max(int(bound or 1), 1)
+
+
 def _unanswered(queries: DataFrame, answered: DataFrame | None) -> DataFrame:
     q = queries if answered is None else queries.join(answered.select("query_id").distinct(), "query_id",
                                                       "left_anti")
@@ -268,6 +280,7 @@ def fallback_search(messages: DataFrame, queries: DataFrame, answered: DataFrame
     hits = m.join(q, "folder").filter(cond).drop("_subj", "_body")
     w = Window.partitionBy("query_id").orderBy(F.col("uid").desc())
     top = (hits.withColumn("rank", F.row_number().over(w))
+           .filter(F.col("rank") <= F.lit(_limit_bound(q)))
            .filter(F.col("rank") <= F.col("q_limit")))
     return top.select(
         "query_id", "folder", "uid", "subject", "sender", "date",

@@ -144,3 +144,24 @@ def test_output_is_redacted(spark):
     msgs = messages(spark, [(1, "password=hunter2", "token body Authorization: Bearer abcdefghijk")])
     r = run(spark, msgs, [(1, "INBOX", "token", 20)]).first()
     assert "hunter2" not in r["subject"] and "[REDACTED:BEARER_TOKEN]" in r["excerpt"]
+
+
+def test_top_k_plans_partial_group_limit(spark):
+    msgs = messages(spark, [(u, "s", "same words") for u in range(1, 30)])
+    q = spark.createDataFrame([(1, "INBOX", "same", 3), (2, "INBOX", "zzz", 2)], QS)
+    scored = search.search(ix.build_index(msgs), msgs, q, with_excerpt=False, materialize=False)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_search_context_reports_sync_failure(spark):
+    msgs = messages(spark, [(1, "alpha", "beta")])
+    q = spark.createDataFrame([(1, "INBOX", "alpha", 5)], QS)
+
+    def failing_sync():
+        raise RuntimeError("listing failed")
+
+    report, results = search.search_context(failing_sync, lambda: run(spark, msgs, [(1, "INBOX", "alpha", 5)]))
+    r = report.first()
+    assert (r["ok"], r["error"]) == (False, "listing failed")
+    assert [x["uid"] for x in results.collect()] == [1]
