@@ -188,6 +188,9 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     ok = F.coalesce(F.col("ok"), F.lit(True)) if "ok" in source.columns else F.lit(True)
     src = source.select("folder", "uid", "subject", "sender", "date", "body", "body_text_type",
                         "truncated", ok.alias("ok"), F.lit(True).alias("found"))
+    # semi-join first: only work-list rows leave the mailbox scan (the small key side can be
+    # broadcast); the left join that marks missing uids then runs between two small sides
+    src = src.join(work.select("folder", "uid"), ["folder", "uid"], "left_semi")
     fetched = (work.join(src, ["folder", "uid"], "left")
                .withColumn("ok", F.coalesce(F.col("found"), F.lit(False)) & F.coalesce(F.col("ok"), F.lit(False))))
     if materialize:
