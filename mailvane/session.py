@@ -29,6 +29,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # raw messages can be large: keep Arrow batches to the Python helpers small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.driver.memory", os.environ.get("MAILVANE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
