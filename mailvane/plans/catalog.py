@@ -85,6 +85,24 @@ def recent_messages(spark, d):
     return reading.recent_messages(source(spark, d), 10, fx.POLICY_KEYWORDS)
 
 
+_CONV_CTE = ("c AS (SELECT role AS folder, conv_id * 1000 + turn AS uid, "
+             "substr(split_part(text, chr(10), 1), 1, 80) AS subject, "
+             "'conv' || CAST(conv_id AS VARCHAR) || '@example.com' AS sender, "
+             "'Thu, 28 May 2026 10:00:00 +0900' AS date FROM conversations)")
+
+
+@register("recent_conversations",
+          f"WITH {_CONV_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY uid DESC) AS rank "
+          f"FROM c) SELECT folder, uid, {o.redact_sql('subject')} AS subject, {o.redact_sql('sender')} AS sender, "
+          f"date, rank, {o.contains_any_sql('subject', fx.POLICY_KEYWORDS)} AS body_read_blocked, "
+          f"CASE WHEN {o.contains_any_sql('subject', fx.POLICY_KEYWORDS)} THEN 'COMPENSATION_SUBJECT' END "
+          f"AS block_reason FROM r WHERE rank <= 25")
+def recent_conversations(spark, d):
+    """Second corpus: newest turns per role."""
+    conv = tables.source_messages_from_conversations(tables.read_table(spark, d, "conversations"))
+    return reading.recent_messages(conv, 25, fx.POLICY_KEYWORDS)
+
+
 def _body_sql(where: str, max_chars: int, keys_from: str | None) -> str:
     blocked = o.contains_any_sql("subject", fx.POLICY_KEYWORDS)
     red = o.redact_sql("body")
