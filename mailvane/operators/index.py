@@ -42,7 +42,9 @@ class MailIndex:
         """``term, folder, uid, col, pos`` for the given ``terms(term)``."""
         t = terms.select("term").distinct()
         if "positions" in self.postings.columns:
-            return (self.postings.join(t, "term", "left_semi")
+            from .search import prune_postings
+
+            return (prune_postings(self.postings, t).join(t, "term", "left_semi")
                     .select("term", "folder", "uid", F.explode("positions").alias("p"))
                     .select("term", "folder", "uid", F.col("p.col").alias("col"), F.col("p.pos").alias("pos")))
         if self.source is None:

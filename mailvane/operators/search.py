@@ -56,6 +56,32 @@ def _phrase_hits(qt: DataFrame, index: MailIndex) -> DataFrame:
     return starts.groupBy("query_id", "i", "folder", "uid").agg(F.count(F.lit(1)).alias("f"))
 
 
+# Largest number of distinct query terms pushed to the postings scan as a static filter. Above it
+# the filter is left out (the scan reads everything, results are the same).
+MAX_PUSHED_TERMS = 20000
+
+
+def prune_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings restricted to the batch's terms by a static ``IN`` filter, when the batch is small.
+
+    The distinct terms of a query batch are read by a tiny job. Pushed into
+    the Parquet scan, the filter skips row groups (files are sorted by term),
+    and on the bucket layout of ``write_index`` it prunes ``term_bucket``
+    partitions. It only narrows the scan; the joins still decide the result.
+    """
+    distinct = terms.select("term").distinct()
+    found = [r[0] for r in distinct.limit(MAX_PUSHED_TERMS + 1).collect()]
+    if len(found) > MAX_PUSHED_TERMS:
+        return postings
+    out = postings.filter(F.col("term").isin(found))
+    if "term_bucket" in postings.columns:
+        from .index import term_bucket
+
+        buckets = sorted({r[0] for r in distinct.select(term_bucket(F.col("term"))).collect()})
+        out = out.filter(F.col("term_bucket").isin(buckets))
+    return out
+
+
 def has_phrases(queries: DataFrame) -> bool:
     """Whether any query token is a multi-term phrase (a small job on the query batch only)."""
     return not query_terms(queries).filter(F.col("m") > 1).isEmpty()
@@ -81,7 +107,7 @@ def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None =
 
     q = queries.select("query_id", "folder", F.size(query_tokens("query")).alias("n_tokens"))
     qt = query_terms(queries)
-    post = index.postings
+    post = prune_postings(index.postings, qt.select(F.explode("terms").alias("term")))
 
     single = qt.filter(F.col("m") == 1).select("query_id", "folder", "i", F.col("terms")[0].alias("term"))
     df_single = (single.select("term").distinct()
