@@ -222,11 +222,16 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     upserted = kept.unionByName(indexed.select(*cols))
 
     # soft delete: active rows missing from a successful full listing
+    # Only folders due for a full check meet the listing; every other row passes through untouched,
+    # so a run with few checked folders never joins the whole index with the whole listing.
     listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid", F.lit(True).alias("listed"))
-    checked = d.filter("did_full_check").select("folder", F.lit(True).alias("checked"))
-    marked = (upserted.join(checked, "folder", "left").join(listed, ["folder", "uid"], "left")
-              .withColumn("gone", F.coalesce("checked", F.lit(False)) & ~F.col("is_deleted")
-                          & F.col("listed").isNull()))
+    checked = d.filter("did_full_check").select("folder")
+    in_check = (upserted.join(checked, "folder", "left_semi")
+                .join(listed.join(checked, "folder", "left_semi"), ["folder", "uid"], "left")
+                .withColumn("gone", ~F.col("is_deleted") & F.col("listed").isNull())
+                .drop("listed"))
+    passing = upserted.join(checked, "folder", "left_anti").withColumn("gone", F.lit(False))
+    marked = in_check.unionByName(passing)
     new_messages = marked.select(
         *[c for c in cols if c not in ("is_deleted", "deleted_at")],
         (F.col("is_deleted") | F.col("gone")).alias("is_deleted"),
