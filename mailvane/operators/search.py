@@ -225,6 +225,9 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     q = queries.select("query_id", "folder", "query",
                        (F.col("limit") if "limit" in queries.columns else F.lit(default_limit))
                        .cast("int").alias("q_limit"))
+    # the batch is small and read by several planning jobs (term list, limit bound, phrase check):
+    # keep it in memory; a lost block is recomputed from its lineage
+    q = q.cache()
     heads = messages.filter(~F.col("is_deleted")).select(
         "folder", "uid", "subject", "sender", "date", "is_deleted", "body_index_blocked", "block_reason")
     active_keys = messages.filter(~F.col("is_deleted")).select("folder", "uid")
