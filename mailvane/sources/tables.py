@@ -61,8 +61,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     the partition count already exceeds the parallelism and nothing is
     added, so no shuffle is paid at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as is
+        return df
+    if parts >= cores:
         return df
     return df.repartition(cores * 2, key)
 
