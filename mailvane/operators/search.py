@@ -48,7 +48,19 @@ def _phrase_hits(qt: DataFrame, index: MailIndex) -> DataFrame:
     """Occurrences of multi-term phrases: rows ``query_id, i, folder, uid, f`` over all folders."""
     parts = qt.filter(F.col("m") > 1).select(
         "query_id", "i", "m", F.posexplode("terms").alias("j", "term"))
-    occ = parts.join(index.occurrences(parts.select("term")), "term")
+    source = index
+    if "positions" not in index.postings.columns and index.source is not None:
+        # a phrase can only occur in messages that hold all its terms: find those from the postings and
+        # re-tokenise just their text, not the corpus
+        post = prune_postings(index.postings, parts.select("term")).select("term", "folder", "uid")
+        cand = (parts.join(post, "term")
+                .groupBy("query_id", "i", "folder", "uid")
+                .agg(F.countDistinct("j").alias("k"), F.first("m").alias("m"))
+                .filter(F.col("k") == F.col("m"))
+                .select("folder", "uid").distinct())
+        source = MailIndex(index.postings, index.doc_len,
+                           index.source.join(cand, ["folder", "uid"], "left_semi"))
+    occ = parts.join(source.occurrences(parts.select("term")), "term")
     starts = (occ.groupBy("query_id", "i", "folder", "uid", "col",
                           (F.col("pos") - F.col("j")).alias("start"))
               .agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m"))
