@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import policy
 from ..functions.redact import redact, redact_body, redact_summary, validate_patterns
 from ..functions.text import casefold
+from ..sources.tables import restrict_folders
 
 HEADER_COLUMNS = ("folder", "uid", "subject", "sender", "date")
 
@@ -147,6 +148,7 @@ def body_search(messages: DataFrame, queries: DataFrame, max_body_chars: int | N
         bound = 0
     _check_positive("max_scan", bound if bound else None)
     scan_n = q.groupBy("folder").agg(F.max("q_scan").alias("scan_n"))
+    messages = restrict_folders(messages, q)
     cols = list(HEADER_COLUMNS) + ["body", "body_text_type", "truncated"]
     ok = F.col("ok") if "ok" in messages.columns else F.lit(True)
     w = Window.partitionBy("folder").orderBy(F.col("uid").desc())

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.redact import redact, validate_patterns
 from ..functions.text import (TERM_PATTERN, ascii_lower, fold_python, index_terms,
                               query_tokens, shorten)
+from ..sources.tables import restrict_folders
 from .index import BM25_B, BM25_K1, IDF_FLOOR, MailIndex
 
 # --- fixed values: excerpt window and ellipsis ---
@@ -124,7 +125,9 @@ def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None =
     single = qt.filter(F.col("m") == 1).select("query_id", "folder", "i", F.col("terms")[0].alias("term"))
     df_single = (single.select("term").distinct()
                  .join(post.select("term"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    hits1 = (single.join(post.select("term", "folder", "uid", F.col("tf").alias("f")), ["term", "folder"])
+    # hits only in the queries' folders; document frequencies above stay global
+    hit_post = restrict_folders(post, queries)
+    hits1 = (single.join(hit_post.select("term", "folder", "uid", F.col("tf").alias("f")), ["term", "folder"])
              .join(df_single, "term")
              .select("query_id", "i", "folder", "uid", "f", "n"))
 
@@ -240,6 +243,7 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     # the batch is small and read by several planning jobs (term list, limit bound, phrase check):
     # keep it in memory; a lost block is recomputed from its lineage
     q = q.cache()
+    messages = restrict_folders(messages, q)  # headers, bodies, fallback: only the batch's folders
     heads = messages.filter(~F.col("is_deleted")).select(
         "folder", "uid", "subject", "sender", "date", "is_deleted", "body_index_blocked", "block_reason")
     active_keys = messages.filter(~F.col("is_deleted")).select("folder", "uid")

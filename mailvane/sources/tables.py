@@ -71,6 +71,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores * 2, key)
 
 
+# Largest number of distinct folders pushed into a scan as a static filter; above it the filter is left out.
+MAX_PUSHED_FOLDERS = 20000
+
+
+def restrict_folders(df: DataFrame, folders: DataFrame) -> DataFrame:
+    """``df`` limited to the folders named by a small ``folders(folder)`` table, as a static filter.
+
+    On a folder-partitioned table the filter prunes partitions; elsewhere it
+    is pushed into the Parquet scan. The folder list comes from a tiny job
+    on the (small) query batch; when it is larger than MAX_PUSHED_FOLDERS the
+    filter is left out, with the same result.
+    """
+    found = [r[0] for r in folders.select("folder").distinct().limit(MAX_PUSHED_FOLDERS + 1).collect()]
+    if len(found) > MAX_PUSHED_FOLDERS:
+        return df
+    return df.filter(F.col("folder").isin(found))
+
+
 def subject_of(text: Column) -> Column:
     """First line of a text, at most ``SUBJECT_CHARS`` characters."""
     return F.substring(F.substring_index(text, "\n", 1), 1, SUBJECT_CHARS)
