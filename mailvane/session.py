@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,58 +13,62 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "mailvane") -> SparkSession:
     """Build (or reuse) a session with AQE on, UTC time, no UI.
 
-    On a cluster pass ``master=None`` and let spark-submit decide; locally the
-    default is ``local[8]``.
+    ``master`` and ``shuffle_partitions`` are set only when given: on a cluster
+    spark-submit decides both, and AQE sizes the partitions at run time.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("MAILVANE_SHUFFLE_PARTITIONS", "8"))
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # raw messages can be large: keep Arrow batches to the Python helpers small
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.driver.memory", os.environ.get("MAILVANE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
+    small_arrow_batches(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def small_arrow_batches(spark: SparkSession, rows: int = 256, size: str = "16m") -> None:
+    """Bound what one Arrow batch to a Python helper holds, by rows and by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local runs, tests) a scratch folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session. Only where it is unset and
+    the master is local (tests, local runs) a scratch folder is created and
+    registered; a cluster without the setting is an error, because executors
+    would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no SparkContext on this client (e.g. Spark Connect): the server owns the setting
-        sc = None
-    if not path and sc is not None:
+    sc = spark.sparkContext
+    if not path:
         path = sc.getCheckpointDir()
     if not path:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="mailvane-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    if sc is not None and not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
-    import uuid
-
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
