@@ -298,8 +298,8 @@ def learn(docs: DataFrame) -> LanguageId:
 
     Seven eighths of them (by crc32 of the id) are counted, all of their text.
     The last eighth calibrates: a logistic curve from evidence to the share of
-    right answers, and per language a threshold a quarter of the upper spread
-    above the 99.9th percentile of cross-entropy.
+    right answers, and per language a threshold as far above the 99.9th
+    percentile of cross-entropy as that is above the median.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -315,7 +315,7 @@ def learn(docs: DataFrame) -> LanguageId:
     learned.slope, learned.offset = _logistic([(r["b"] / 4, r["r"], r["w"]) for r in bins.collect()])
     spread = told.filter(right & (F.col("letters") >= MIN_LETTERS)).groupBy("lang_pred").agg(
         F.percentile_approx("entropy", F.array(F.lit(0.5), F.lit(0.999)), 10_000).alias("q"))
-    learned.limits = {r["lang_pred"]: r["q"][1] + 0.25 * (r["q"][1] - r["q"][0]) for r in spread.collect()}
+    learned.limits = {r["lang_pred"]: 2 * r["q"][1] - r["q"][0] for r in spread.collect()}
     return learned
 
 

@@ -20,8 +20,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = token_scan.write_token_files(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     counts = token_scan.scan(spark, files.path)
-    return files.order.join(counts, ["file", "ordinal"], "left").select(
-        "doc_id", F.coalesce("n_tokens", F.lit(-1)).alias("n_tokens"))
+    return files.order.join(counts, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
