@@ -59,7 +59,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: Learned models, MinHash-free fingerprints and encodings have no SQL form; the query is tested stage by stage instead.
+#: Learned models, fingerprints and encodings have no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
