@@ -123,7 +123,7 @@ def _ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b); root is the smallest node reachable.
+    """(node, root) of every node of ``edges`` (a, b) but the roots; root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer change.
     Each step is a grouped minimum and a join; each round is written to the
