@@ -22,23 +22,20 @@ COMPENSATION_BLOCK_BODY = "[BLOCKED:COMPENSATION_SUBJECT]"
 # --- end fixed values ---
 
 
-def contains_keyword(c: Column | str, keywords: Sequence[str] | None,
-                     exact_casefold: bool = False) -> Column:
-    """True when the case-folded value contains any case-folded keyword."""
+def contains_keyword(c: Column | str, keywords: Sequence[str] | None) -> Column:
+    """True when the case-folded value contains any keyword folded the same way."""
     if not keywords:
         return F.lit(False)
-    folded = casefold(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")),
-                      exact=exact_casefold)
+    folded = casefold(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
     tests = [folded.contains(F.lit(k.casefold())) for k in keywords]
     return reduce(lambda a, b: a | b, tests)
 
 
 def block_columns(subject: Column | str = "subject",
                   keywords: Sequence[str] | None = COMPENSATION_SUBJECT_KEYWORDS,
-                  reason: str = COMPENSATION_BLOCK_REASON,
-                  exact_casefold: bool = False) -> dict[str, Column]:
+                  reason: str = COMPENSATION_BLOCK_REASON) -> dict[str, Column]:
     """``body_read_blocked`` and ``block_reason`` columns for a header row."""
-    blocked = contains_keyword(subject, keywords, exact_casefold)
+    blocked = contains_keyword(subject, keywords)
     return {
         "body_read_blocked": blocked,
         "block_reason": F.when(blocked, F.lit(reason)).otherwise(F.lit(None).cast("string")),

@@ -1,13 +1,13 @@
 """Text scalar functions as Spark columns.
 
-Native expressions are the default. The exact Unicode variants (full case
-folding, full HTML entity table) are Arrow-batched pandas UDFs and are only
-used when asked for.
+Expressions are native but for full case folding and HTML entities, which have
+no built-in form and are Arrow-batched pandas UDFs.
 """
 
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,12 +29,6 @@ SCRIPT_STYLE_PATTERN = r"(?is)<(script|style).*?>.*?</\1>"
 BR_PATTERN = r"(?is)<br\s*/?>"
 P_END_PATTERN = r"(?is)</p\s*>"
 TAG_PATTERN = r"(?is)<[^>]+>"
-# Entities decoded natively; "&amp;" must stay last so it cannot create new entities.
-NATIVE_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
-)
 EXCERPT_MAX_CHARS = 500
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -45,37 +39,38 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _diacritic_table(first: int = 0x00C0, last: int = 0x024F) -> tuple[str, str]:
+def _diacritic_table() -> tuple[str, str]:
     """Accented Latin letters and their base letters, derived by rule.
 
     A letter is mapped when its canonical decomposition is one ASCII letter
     followed only by combining marks. Letters such as 'ß', 'æ', 'ø' have no
-    such decomposition and stay as they are.
+    such decomposition and stay as they are, as does every other script.
     """
     src, dst = [], []
-    for cp in range(first, last + 1):
-        ch = chr(cp)
-        d = unicodedata.normalize("NFD", ch)
+    for cp in range(0x80, 0x10000):
+        d = unicodedata.normalize("NFD", chr(cp))
         if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(
             unicodedata.category(x) == "Mn" for x in d[1:]
         ):
-            src.append(ch)
+            src.append(chr(cp))
             dst.append(d[0])
     return "".join(src), "".join(dst)
 
 
 DIACRITIC_SRC, DIACRITIC_DST = _diacritic_table()
+# Marks that a decomposed Latin letter carries; dropped, so that they do not split a term.
+MARK_PATTERN = "[\u0300-\u036f]+"
 _FOLD_TABLE = str.maketrans(DIACRITIC_SRC, DIACRITIC_DST)
 
 
 def fold_for_index(c: Column | str) -> Column:
-    """Lower case with Latin diacritics removed (index term folding, F2)."""
-    return F.translate(F.lower(_col(c)), DIACRITIC_SRC, DIACRITIC_DST)
+    """Lower case with Latin diacritics removed, composed or not (index term folding, F2)."""
+    return F.regexp_replace(F.translate(F.lower(_col(c)), DIACRITIC_SRC, DIACRITIC_DST), MARK_PATTERN, "")
 
 
 def fold_python(value: str) -> str:
     """The same folding in Python, for per-row helpers that must agree with it."""
-    return value.lower().translate(_FOLD_TABLE)
+    return re.sub(MARK_PATTERN, "", value.lower().translate(_FOLD_TABLE))
 
 
 def index_terms(c: Column | str) -> Column:
@@ -98,24 +93,19 @@ def _casefold_udf(s: pd.Series) -> pd.Series:
     return s.str.casefold()
 
 
-def casefold(c: Column | str, exact: bool = False) -> Column:
-    """Case folding (T7). ``lower`` natively; ``exact`` uses ``str.casefold``."""
-    return _casefold_udf(_col(c)) if exact else F.lower(_col(c))
+def casefold(c: Column | str) -> Column:
+    """Full case folding."""
+    return _casefold_udf(_col(c))
 
 
 @F.pandas_udf(T.StringType())
 def _unescape_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else html.unescape(v))
+    return s.map(lambda v: html.unescape(v) if v and "&" in v else v)
 
 
-def html_unescape(c: Column | str, exact: bool = False) -> Column:
-    """Decode HTML entities: a native chain of common entities or the full table."""
-    if exact:
-        return _unescape_udf(_col(c))
-    out = _col(c)
-    for entity, char in NATIVE_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+def html_unescape(c: Column | str) -> Column:
+    """Decode every named and numeric HTML entity."""
+    return _unescape_udf(_col(c))
 
 
 def strip_html(c: Column | str) -> Column:
@@ -126,9 +116,9 @@ def strip_html(c: Column | str) -> Column:
     return F.regexp_replace(out, TAG_PATTERN, " ")
 
 
-def html_to_text(c: Column | str, exact_entities: bool = False) -> Column:
+def html_to_text(c: Column | str) -> Column:
     """HTML to text (T3): drop script/style, breaks to newlines, tags to spaces, unescape."""
-    return html_unescape(strip_html(c), exact=exact_entities)
+    return html_unescape(strip_html(c))
 
 
 def normalize_text(c: Column | str) -> Column:

@@ -123,7 +123,7 @@ def active_blocked(messages: DataFrame, limit: int | None = None) -> DataFrame:
 
 def body_search(messages: DataFrame, queries: DataFrame, max_body_chars: int | None = 2000,
                 allow_blocked_body: bool = False,
-                keywords=policy.COMPENSATION_SUBJECT_KEYWORDS, exact_casefold: bool = False,
+                keywords=policy.COMPENSATION_SUBJECT_KEYWORDS,
                 extra_patterns=None, default_limit: int = 20, default_max_scan: int = 200) -> DataFrame:
     """Substring search over the newest bodies of a folder, for a batch of queries.
 
@@ -132,14 +132,15 @@ def body_search(messages: DataFrame, queries: DataFrame, max_body_chars: int | N
     folder (blocked and failed rows use up scan budget), drop blocked
     subjects (P5), keep bodies containing the case-folded query (P7), return
     the newest ``limit`` matches with redacted, cut bodies. ``messages`` may
-    carry ``ok``; rows with ``ok = false`` count as fetch failures.
+    carry ``ok``; rows with ``ok = false`` count as fetch failures. A blank
+    query finds nothing.
     """
     extra = validate_patterns(extra_patterns)
     q = queries.select(
         "query_id", "folder", "query",
         (F.col("limit") if "limit" in queries.columns else F.lit(default_limit)).alias("q_limit"),
         (F.col("max_scan") if "max_scan" in queries.columns else F.lit(default_max_scan)).alias("q_scan"),
-    ).withColumn("q_folded", casefold("query", exact_casefold))
+    ).withColumn("q_folded", casefold("query")).filter(F.trim("query") != "")
     # Slice keys only, with a literal bound so Spark plans a partial WindowGroupLimit before the
     # shuffle (a hot folder sends at most `bound` keys per map task); bodies are joined afterwards,
     # for the sliced keys only. The bound is the widest max_scan of the (small) query batch.
@@ -158,11 +159,11 @@ def body_search(messages: DataFrame, queries: DataFrame, max_body_chars: int | N
             .join(scan_n, "folder")
             .filter(F.col("scan_rank") <= F.col("scan_n")))
     ranked = keys.join(messages.select(*cols, ok.alias("ok")), ["folder", "uid"])
-    skip = policy.contains_keyword("subject", keywords, exact_casefold) & F.lit(not allow_blocked_body)
+    skip = policy.contains_keyword("subject", keywords) & F.lit(not allow_blocked_body)
     hits = (ranked.join(q, "folder")
             .filter(F.col("scan_rank") <= F.col("q_scan"))
             .filter(~skip & F.col("ok"))
-            .filter(F.coalesce(casefold("body", exact_casefold), F.lit("")).contains(F.col("q_folded"))))
+            .filter(F.coalesce(casefold("body"), F.lit("")).contains(F.col("q_folded"))))
     wq = Window.partitionBy("query_id").orderBy(F.col("uid").desc())
     top = (hits.withColumn("rank", F.row_number().over(wq))
            .filter(F.col("rank") <= F.col("q_limit"))

@@ -10,24 +10,19 @@ rows.
 
 from __future__ import annotations
 
-import bisect
-
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.redact import redact, validate_patterns
-from ..functions.text import (TERM_PATTERN, ascii_lower, fold_python, index_terms,
+from ..functions.text import (ascii_lower, collapse_whitespace, fold_for_index, index_terms,
                               query_tokens, shorten)
+from ..session import checkpoint_dir
 from ..sources.tables import restrict_folders
 from .index import BM25_B, BM25_K1, IDF_FLOOR, MailIndex
 
-# --- fixed values: excerpt window and ellipsis ---
-SNIPPET_TOKENS = 18
+# Excerpt: so many words of the body, beginning so many before the first that holds a query term.
+EXCERPT_WORDS, EXCERPT_BEFORE = 18, 6
 ELLIPSIS = "..."
-# --- end fixed values ---
 
 RESULT_COLUMNS = ("query_id", "folder", "uid", "subject", "sender", "date", "excerpt",
                   "score", "is_deleted", "body_index_blocked", "block_reason", "rank")
@@ -53,7 +48,7 @@ def _phrase_hits(qt: DataFrame, index: MailIndex) -> DataFrame:
     if "positions" not in index.postings.columns and index.source is not None:
         # a phrase can only occur in messages that hold all its terms: find those from the postings and
         # re-tokenise just their text, not the corpus
-        post = prune_postings(index.postings, parts.select("term")).select("term", "folder", "uid")
+        post = index.postings.select("term", "folder", "uid")
         cand = (parts.join(post, "term")
                 .groupBy("query_id", "i", "folder", "uid")
                 .agg(F.countDistinct("j").alias("k"), F.first("m").alias("m"))
@@ -69,32 +64,6 @@ def _phrase_hits(qt: DataFrame, index: MailIndex) -> DataFrame:
     return starts.groupBy("query_id", "i", "folder", "uid").agg(F.count(F.lit(1)).alias("f"))
 
 
-# Largest number of distinct query terms pushed to the postings scan as a static filter. Above it
-# the filter is left out (the scan reads everything, results are the same).
-MAX_PUSHED_TERMS = 20000
-
-
-def prune_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings restricted to the batch's terms by a static ``IN`` filter, when the batch is small.
-
-    The distinct terms of a query batch are read by a tiny job. Pushed into
-    the Parquet scan, the filter skips row groups (files are sorted by term),
-    and on the bucket layout of ``write_index`` it prunes ``term_bucket``
-    partitions. It only narrows the scan; the joins still decide the result.
-    """
-    distinct = terms.select("term").distinct()
-    found = [r[0] for r in distinct.limit(MAX_PUSHED_TERMS + 1).collect()]
-    if len(found) > MAX_PUSHED_TERMS:
-        return postings
-    out = postings.filter(F.col("term").isin(found))
-    if "term_bucket" in postings.columns:
-        from .index import term_bucket
-
-        buckets = sorted({r[0] for r in distinct.select(term_bucket(F.col("term"))).collect()})
-        out = out.filter(F.col("term_bucket").isin(buckets))
-    return out
-
-
 def has_phrases(queries: DataFrame) -> bool:
     """Whether any query token is a multi-term phrase (a small job on the query batch only)."""
     return not query_terms(queries).filter(F.col("m") > 1).isEmpty()
@@ -120,7 +89,7 @@ def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None =
 
     q = queries.select("query_id", "folder", F.size(query_tokens("query")).alias("n_tokens"))
     qt = query_terms(queries)
-    post = prune_postings(index.postings, qt.select(F.explode("terms").alias("term")))
+    post = index.postings
 
     single = qt.filter(F.col("m") == 1).select("query_id", "folder", "i", F.col("terms")[0].alias("term"))
     df_single = (single.select("term").distinct()
@@ -156,66 +125,19 @@ def _rounded(c: Column, digits: int | None) -> Column:
     return c if digits is None else F.round(c, digits)
 
 
-def _excerpt_udf(n_tokens: int = SNIPPET_TOKENS):
-    term_re = regex.compile(TERM_PATTERN)
-
-    def one(body, phrases) -> str:
-        if not body:
-            return ""
-        spans = [m.span() for m in term_re.finditer(body)]
-        folded = fold_python(body)
-        if len(folded) == len(body):  # folding kept every offset: slice once-folded text
-            toks = [(a, b, folded[a:b]) for a, b in spans]
-        else:
-            toks = [(a, b, fold_python(body[a:b])) for a, b in spans]
-        ncol = len(toks)
-        if ncol == 0:
-            return ""
-        where: dict[str, list[int]] = {}
-        for p, t in enumerate(toks):
-            where.setdefault(t[2], []).append(p)
-        hits = []
-        for pi, ph in enumerate(phrases if phrases is not None else []):
-            ph = list(ph)
-            if not ph:
-                continue
-            for p in where.get(ph[0], ()):
-                if p + len(ph) <= ncol and all(toks[p + k][2] == ph[k] for k in range(1, len(ph))):
-                    hits.append((p, pi, len(ph)))
-        hits.sort()
-        starts = [h[0] for h in hits]
-        best, best_start = -1, 0
-        for p, _, _ in hits:
-            lo, hi = bisect.bisect_left(starts, p), bisect.bisect_left(starts, p + n_tokens)
-            seen, score, last = set(), 0, p
-            for q, qi, ql in hits[lo:hi]:
-                score += 1 if qi in seen else 1000
-                seen.add(qi)
-                last = max(last, q + ql)
-            adj = p - (n_tokens - (last - p)) // 2
-            adj = max(min(adj, ncol - n_tokens), 0)
-            if score > best:
-                best, best_start = score, adj
-        s, e = best_start, min(best_start + n_tokens, ncol)
-        head = toks[s][0] if s > 0 else 0
-        tail = toks[e - 1][1] if e < ncol else len(body)
-        return (ELLIPSIS if s > 0 else "") + body[head:tail] + (ELLIPSIS if e < ncol else "")
-
-    @F.pandas_udf(T.StringType())
-    def excerpt(body: pd.Series, phrases: pd.Series) -> pd.Series:
-        return pd.Series([one(b, p) for b, p in zip(body, phrases)], dtype=object)
-
-    return excerpt
-
-
-def excerpt_column(body: Column, phrases: Column, n_tokens: int = SNIPPET_TOKENS) -> Column:
-    """Window of at most ``n_tokens`` body tokens around the query hits (F8).
-
-    The window with the most distinct query phrases wins (earliest on ties),
-    centred on its hits; ``...`` marks a cut. With no body hit the excerpt is
-    the start of the body. A per-row helper, run only on top-k result rows.
+def excerpt_column(body: Column, terms: Column) -> Column:
+    """EXCERPT_WORDS words of the body around the first that holds one of ``terms`` (F8).
+
+    Words are what blanks separate; a word holds a term if its folded form
+    contains it. Without such a word the excerpt begins with the body;
+    ``...`` marks a cut.
     """
-    return _excerpt_udf(n_tokens)(body, phrases)
+    words = F.split(collapse_whitespace(F.coalesce(body, F.lit(""))), " ")
+    hit = F.transform(words, lambda w: F.exists(terms, lambda t: F.contains(fold_for_index(w), t)))
+    first = F.greatest(F.array_position(hit, True) - 1 - EXCERPT_BEFORE, F.lit(0)).cast("int")
+    more = F.size(words) > first + EXCERPT_WORDS
+    return F.concat(F.when(first > 0, ELLIPSIS).otherwise(""), F.array_join(F.slice(words, first + 1, EXCERPT_WORDS), " "),
+                    F.when(more, ELLIPSIS).otherwise(""))
 
 
 def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
@@ -261,23 +183,16 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
               .filter(F.col("rank") <= F.col("q_limit")).drop("q_limit")
               .join(heads, ["folder", "uid"]))
     if materialize:
-        from ..session import checkpoint_dir
-
         checkpoint_dir(ranked.sparkSession)
         ranked = ranked.checkpoint(eager=True)
     answered = ranked.select("query_id")
 
     if with_excerpt:
-        phrases = (query_terms(q).groupBy("query_id")
-                   .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "terms"))),
-                                    lambda s: s["terms"]).alias("phrases")))
+        terms = q.select("query_id", F.array_distinct(F.flatten(F.transform(query_tokens("query"), index_terms))).alias("terms"))
         bodies = messages.select("folder", "uid", "body")
-        # the excerpt helper is CPU-bound Python: spread the (bounded) result rows over all cores
-        spread_n = max(ranked.sparkSession.sparkContext.defaultParallelism, 1)
-        ranked = (ranked.join(bodies, ["folder", "uid"]).join(phrases, "query_id")
-                  .repartition(spread_n, "query_id", "uid")
-                  .withColumn("excerpt", shorten(excerpt_column(F.col("body"), F.col("phrases"))))
-                  .drop("body", "phrases"))
+        ranked = (ranked.join(bodies, ["folder", "uid"]).join(terms, "query_id")
+                  .withColumn("excerpt", shorten(excerpt_column(F.col("body"), F.col("terms"))))
+                  .drop("body", "terms"))
     else:
         ranked = ranked.withColumn("excerpt", F.lit(None).cast("string"))
 
@@ -294,8 +209,10 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
 
 def _limit_bound(queries: DataFrame) -> int:
     """Largest ``q_limit`` of a query batch (a tiny job on the batch), used as a literal top-k bound."""
-    bound = queries.agg(F.max("q_limit")).first()[0]
-    return max(int(bound or 1), 1)
+    bound, least = queries.agg(F.max("q_limit"), F.min("q_limit")).first()
+    if least is not None and least < 1:
+        raise ValueError("limit must be greater than 0")
+    return int(bound or 1)
 
 
 def _unanswered(queries: DataFrame, answered: DataFrame | None) -> DataFrame:
@@ -342,7 +259,10 @@ def search_context(sync_fn, search_fn):
     """
     try:
         report = sync_fn()
-        report = report.withColumn("ok", F.lit(True)).withColumn("error", F.lit(None).cast("string"))
+        checkpoint_dir(report.sparkSession)
+        # the sync's own work runs here, so that its failures are reported as well
+        report = (report.withColumn("ok", F.lit(True)).withColumn("error", F.lit(None).cast("string"))
+                  .checkpoint(eager=True))
         ok = True
     except Exception as exc:  # report and carry on, as the original tool does
         report, ok = str(exc), False

@@ -86,7 +86,7 @@ def recent_messages(spark, d):
 
 
 _CONV_CTE = ("c AS (SELECT role AS folder, conv_id * 1000 + turn AS uid, "
-             "substr(split_part(text, chr(10), 1), 1, 80) AS subject, "
+             "split_part(text, chr(10), 1) AS subject, "
              "'conv' || CAST(conv_id AS VARCHAR) || '@example.com' AS sender, "
              "'Thu, 28 May 2026 10:00:00 +0900' AS date FROM conversations)")
 
@@ -408,17 +408,16 @@ register("search_switch", _switch_sql(SWITCH_QUERIES))(
     .select("query_id", "folder", "uid", "score", "rank"))
 
 def benchmark_queries(spark, d):
-    """One query per ``benchmark`` passage: its first three tokens, in folder src<item_id mod 20>."""
-    from ..functions.text import query_tokens
+    """One query per ``benchmark`` passage, whole, in folder src<item_id mod 20>."""
     b = tables.read_table(spark, d, "benchmark")
     return b.select(F.col("item_id").alias("query_id"),
                     F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("folder"),
-                    F.array_join(F.slice(query_tokens("text"), 1, 3), " ").alias("query"),
+                    F.col("text").alias("query"),
                     F.lit(10).alias("limit"))
 
 
 BENCH_QUERIES_SQL = (f"SELECT item_id AS query_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS folder, "
-                     f"array_to_string(regexp_extract_all(text, {o.q(o.QTOKEN)})[1:3], ' ') AS query, 10 AS lim "
+                     f"text AS query, 10 AS lim "
                      f"FROM benchmark")
 
 
@@ -429,8 +428,27 @@ def search_batch(spark, d):
                          with_excerpt=False, fallback=False).select("query_id", "folder", "uid", "score", "rank")
 
 
-# excerpts: no SQL form of the window choice; checked against a brute-force helper in tests
-register("search_snippet")(
+
+def _excerpt_sql(rows) -> str:
+    """Ranked hits with their excerpt, and the fallback rows, redacted."""
+    qv = rows if isinstance(rows, str) else "SELECT * FROM " + o.values_sql(rows, ["query_id", "folder", "query", "lim"])
+    return f"""
+WITH {o.MESSAGES_CTE}, a AS ({_bm25_sql(rows)}), b AS ({_fallback_sql(rows)}), qs AS ({qv}),
+t AS (SELECT query_id, list_distinct(flatten(list_transform(regexp_extract_all(query, {o.q(o.QTOKEN)}), lambda x: {o.terms_sql('x')}))) AS terms FROM qs),
+w AS (SELECT a.*, m.subject, m.sender, m.date, t.terms, string_split({o.collapse_sql("coalesce(m.body, '')")}, ' ') AS words
+      FROM a JOIN m USING (folder, uid) JOIN t USING (query_id)),
+p AS (SELECT *, greatest(coalesce(list_position(list_transform(words, lambda x: list_bool_or(list_transform(terms,
+      lambda y: contains(strip_accents(lower(x)), y)))), true), 1) - 1 - {search.EXCERPT_BEFORE}, 0) AS s FROM w),
+e AS (SELECT *, (CASE WHEN s > 0 THEN '...' ELSE '' END) || array_to_string(words[s + 1 : s + {search.EXCERPT_WORDS}], ' ')
+      || (CASE WHEN s + {search.EXCERPT_WORDS} < len(words) THEN '...' ELSE '' END) AS excerpt FROM p)
+SELECT query_id, folder, uid, {o.redact_sql('subject')} AS subject, {o.redact_sql('sender')} AS sender, date,
+       {o.redact_sql(o.shorten_sql('excerpt'))} AS excerpt, score, false AS is_deleted, false AS body_index_blocked,
+       CAST(NULL AS VARCHAR) AS block_reason, rank FROM e
+UNION ALL SELECT query_id, folder, uid, subject, sender, date, excerpt, score, is_deleted, body_index_blocked, block_reason, rank FROM b
+"""
+
+
+register("search_snippet", _excerpt_sql(SEARCH_QUERIES + PHRASE_QUERIES))(
     lambda spark, d: _ranked(spark, d, SEARCH_QUERIES + PHRASE_QUERIES, fallback=True, with_excerpt=True))
 
 
@@ -440,4 +458,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
                    fallback=True, with_excerpt=True)
 
 
-register("search_redacted")(flagship)
+register("search_redacted", _excerpt_sql(SEARCH_QUERIES + PHRASE_QUERIES + FALLBACK_QUERIES))(flagship)

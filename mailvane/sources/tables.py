@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 # --- fixed values: fixture mapping constants ---
 FIXTURE_UIDVALIDITY = 777
 FIXTURE_DATE = "Thu, 28 May 2026 10:00:00 +0900"
-SUBJECT_CHARS = 80
 # --- end fixed values ---
 
 MESSAGE_SCHEMA = T.StructType([
@@ -48,50 +47,26 @@ LISTING_SCHEMA = T.StructType([
 ])
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. A caller that reads few large row groups with many cores may set
+    ``mailvane.readPartitions``; unset, the scan's own partitions stay."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, df.columns[0]) if spread_out else df
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a scan that yields fewer partitions than the cluster has cores.
-
-    Text work (regex tokenising, MIME parsing) is CPU-bound per row; a table
-    stored as one row group is read by one task. On a large multi-file scan
-    the partition count already exceeds the parallelism and nothing is
-    added, so no shuffle is paid at scale.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the plan as is
-        return df
-    if parts >= cores:
-        return df
-    return df.repartition(cores * 2, key)
-
-
-# Largest number of distinct folders pushed into a scan as a static filter; above it the filter is left out.
-MAX_PUSHED_FOLDERS = 20000
+    parts = spark.conf.get("mailvane.readPartitions", None)
+    return df.repartition(int(parts), df.columns[0]) if parts else df
 
 
 def restrict_folders(df: DataFrame, folders: DataFrame) -> DataFrame:
-    """``df`` limited to the folders named by a small ``folders(folder)`` table, as a static filter.
+    """``df`` limited to the folders named by ``folders(folder)``.
 
-    On a folder-partitioned table the filter prunes partitions; elsewhere it
-    is pushed into the Parquet scan. The folder list comes from a tiny job
-    on the (small) query batch; when it is larger than MAX_PUSHED_FOLDERS the
-    filter is left out, with the same result.
+    A semi join: on a folder-partitioned table its small side prunes
+    partitions at run time, and nothing is read on the driver.
     """
-    found = [r[0] for r in folders.select("folder").distinct().limit(MAX_PUSHED_FOLDERS + 1).collect()]
-    if len(found) > MAX_PUSHED_FOLDERS:
-        return df
-    return df.filter(F.col("folder").isin(found))
+    return df.join(folders.select("folder").distinct(), "folder", "left_semi")
 
 
 def subject_of(text: Column) -> Column:
-    """First line of a text, at most ``SUBJECT_CHARS`` characters."""
-    return F.substring(F.substring_index(text, "\n", 1), 1, SUBJECT_CHARS)
+    """First line of a text."""
+    return F.substring_index(text, "\n", 1)
 
 
 def source_messages_from_documents(documents: DataFrame) -> DataFrame:
@@ -155,32 +130,10 @@ def uid_listing(messages: DataFrame, min_uid: int | None = None) -> DataFrame:
     return out
 
 
-def listing_from(messages: DataFrame, ok: Column | bool = True) -> DataFrame:
-    """A successful listing (``listing_ok``) of the given rows."""
-    ok_col = ok if isinstance(ok, Column) else F.lit(bool(ok))
-    return messages.select("folder", "uid", "uidvalidity", ok_col.alias("listing_ok"))
-
-
-def read_folder(messages: DataFrame, folder: str) -> DataFrame:
-    """Rows of one folder (S2); on a folder-partitioned table this prunes partitions."""
-    return messages.filter(F.col("folder") == F.lit(folder))
-
-
-def write_snapshot(df: DataFrame, path: str, partition_by: str | None = "folder",
-                   sort_by: tuple[str, ...] = ("uid",)) -> str:
-    """Write a new table version.
-
-    Written beside the old version and read back from the new path, so a
-    reader of the previous snapshot is never disturbed. Files are sorted by
-    ``sort_by`` within partitions to keep min/max statistics tight for
-    pushdown.
-    """
-    w = df.sortWithinPartitions(*[c for c in ((partition_by,) if partition_by else ()) + sort_by])
-    writer = w.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return path
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; any other trouble with it is an error, not an empty table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:

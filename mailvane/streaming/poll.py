@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import checkpoint_dir, scratch_path
+from ..sources.tables import path_exists
 
 GATE_STATE = T.StructType([
     T.StructField("last_uid", T.LongType()),
@@ -105,16 +106,13 @@ def upsert_batches(stream: DataFrame, table_root: str, key=("folder", "uid"),
     def apply(batch: DataFrame, batch_id: int) -> None:
         from pyspark.sql import Window
 
-        w = Window.partitionBy(*key).orderBy(F.col(order_col).desc_nulls_last())
+        w = Window.partitionBy(*key).orderBy(F.col(order_col).desc_nulls_last(), F.xxhash64(*batch.columns))
         fresh = batch.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
         rows = fresh
-        try:
-            current = batch.sparkSession.read.parquet(table_root)
-        except Exception:  # first batch: nothing written yet
-            current = None
-        if current is not None:
+        if path_exists(spark, table_root):
+            current = batch.sparkSession.read.schema(batch.schema).parquet(table_root)
             old = current.join(fresh.select("folder").distinct(), "folder", "left_semi")
-            rows = old.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)
+            rows = old.join(fresh.select(*key), list(key), "left_anti").select(*fresh.columns).unionByName(fresh)
         rows = rows.checkpoint(eager=True)
         (rows.hint("rebalance", "folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("folder").parquet(table_root))

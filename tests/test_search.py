@@ -1,6 +1,7 @@
 import math
 import re
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -105,39 +106,27 @@ def test_limit_and_tie_break(spark):
     assert [r["uid"] for r in sorted(res, key=lambda r: r["rank"])] == [7, 6, 5]
 
 
-def brute_excerpt(body, phrases, n=18):
-    """Independent statement of the excerpt rule used by the search operator."""
-    spans = [(m.start(), m.end(), fold_python(m.group())) for m in regex.finditer(TERM_PATTERN, body)]
-    toks = [t for _, _, t in spans]
-    hits = sorted((p, i, len(ph)) for i, ph in enumerate(phrases)
-                  for p in range(len(toks)) if toks[p:p + len(ph)] == list(ph))
-    best, start = -1, 0
-    for p, _, _ in hits:
-        inside = [h for h in hits if p <= h[0] < p + n]
-        seen, score = set(), 0
-        for _, i, _ in inside:
-            score += 1 if i in seen else 1000
-            seen.add(i)
-        last = max(h[0] + h[2] for h in inside)
-        adj = max(min(p - (n - (last - p)) // 2, len(toks) - n), 0)
-        if score > best:
-            best, start = score, adj
-    end = min(start + n, len(toks))
-    a = spans[start][0] if start > 0 else 0
-    b = spans[end - 1][1] if end < len(toks) else len(body)
-    return ("..." if start > 0 else "") + body[a:b] + ("..." if end < len(toks) else "")
+def brute_excerpt(body, terms):
+    """Independent statement of the excerpt rule: words around the first that holds a term."""
+    words = body.split()
+    first = next((i for i, w in enumerate(words) if any(t in fold_python(w) for t in terms)), 0)
+    first = max(first - search.EXCERPT_BEFORE, 0)
+    end = first + search.EXCERPT_WORDS
+    return "..." * (first > 0) + " ".join(words[first:end]) + "..." * (end < len(words))
 
 
 def test_excerpt_matches_brute_force(spark):
     words = " ".join(f"w{i}," for i in range(60))
-    bodies = [(1, "s", words + " needle here. " + words),
-              (2, "needle", words),
-              (3, "s", "needle start " + words + " tail needle again needle")]
-    msgs = messages(spark, bodies)
+    bodies = {1: words + " Néedle here. " + words, 2: words, 3: "needle start " + words + " tail needle", 4: "a b\n needle"}
+    msgs = messages(spark, [(u, "needle", b) for u, b in bodies.items()])
     res = run(spark, msgs, [(1, "INBOX", "needle", 20)]).collect()
-    for r in res:
-        body = dict((u, b) for u, _, b in bodies)[r["uid"]]
-        assert r["excerpt"] == " ".join(brute_excerpt(body, [["needle"]]).split())
+    assert {r["uid"]: r["excerpt"] for r in res} == {u: brute_excerpt(b, ["needle"]) for u, b in bodies.items()}
+
+
+def test_limits_are_checked(spark):
+    msgs = messages(spark, [(1, "a", "b")])
+    with pytest.raises(ValueError):
+        run(spark, msgs, [(1, "INBOX", "a", 0)])
 
 
 def test_output_is_redacted(spark):
@@ -161,6 +150,11 @@ def test_search_context_reports_sync_failure(spark):
     def failing_sync():
         raise RuntimeError("listing failed")
 
+    def fails_later():
+        return msgs.select(F.raise_error(F.lit("late failure")).alias("x"))
+
+    late, _ = search.search_context(fails_later, lambda: msgs)
+    assert late.first()["ok"] is False and "late failure" in late.first()["error"]
     report, results = search.search_context(failing_sync, lambda: run(spark, msgs, [(1, "INBOX", "alpha", 5)]))
     r = report.first()
     assert (r["ok"], r["error"]) == (False, "listing failed")

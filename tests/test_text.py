@@ -20,10 +20,13 @@ def test_script_removed_before_paragraph_rule(spark):
     assert ev(spark, lambda c: tx.normalize_text(tx.html_to_text(c)), html) == "A\nB C <d>"
 
 
-def test_exact_entities_match_python(spark):
-    import html as h
-    s = "&eacute;t&eacute; &#233; &amp;quot; &nbsp;x"
-    assert ev(spark, lambda c: tx.html_unescape(c, exact=True), s) == h.unescape(s)
+def test_every_entity_is_decoded(spark):
+    import html
+    from html.entities import html5
+
+    s = " ".join(f"&{name}x" for name in sorted(html5)) + " &#233; &#x27; &#8217; &amp;quot; &nbsp;x &unknown;"
+    assert ev(spark, tx.html_unescape, s) == html.unescape(s)
+    assert ev(spark, tx.html_unescape, None) is None
 
 
 def test_normalize_matches_python(spark):
@@ -43,8 +46,16 @@ def test_fold_and_terms(spark):
     assert ev(spark, tx.index_terms, "Résumé foo_bar ÜBER Straße 42") == ["resume", "foo", "bar", "uber", "straße", "42"]
     assert ev(spark, tx.query_tokens, "foo_bar, ½ é!") == ["foo_bar", "½", "é"]
     assert tx.fold_python("Résumé") == "resume"
+    # decomposed letters, letters of later blocks, and a script without Latin bases
+    assert ev(spark, tx.index_terms, "re\u0301sume\u0301 ẽ ế 한국어") == ["resume", "e", "e", "한국어"]
+
+
+def test_casefold(spark):
+    assert ev(spark, tx.casefold, "Straße ΣΑΣ ABC") == "strasse σασ abc"
+
 
+def test_policy_folds_both_sides(spark):
+    from mailvane.functions.policy import contains_keyword
 
-def test_casefold_exact(spark):
-    assert ev(spark, lambda c: tx.casefold(c, exact=True), "Straße") == "strasse"
-    assert ev(spark, tx.casefold, "ABC") == "abc"
+    for subject, keyword in (("Straße Plan", "STRASSE"), ("strasse plan", "Straße"), ("ΛΟΓΟΣ", "λόγος".replace("ό", "ο")), ("연봉 안내", "연봉")):
+        assert ev(spark, lambda c: contains_keyword(c, [keyword]), subject) is True
