@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -140,32 +140,36 @@ def estimate(counts: DataFrame) -> DataFrame:
     def slot_of(g: pd.Series) -> pd.Series:
         return pd.Series(slot(g.to_numpy(np.int64).view(np.uint64)).astype(np.int64))
 
-    level, levels = counts, {}
-    for k in range(ORDER, 0, -1):
-        d = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-        d = d.select("lang", F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5)).alias("d"))
-        d = d.select("lang", F.least("d", F.lit(0.9)).alias("d"))
-        ctx = F.shiftrightunsigned("g", 16)
-        sums = level.groupBy("lang", ctx.alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("types"))
-        levels[k] = (level.withColumn("ctx", ctx).join(sums, ["lang", "ctx"]).join(d, "lang")
-                     .select("lang", "g", "ctx", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"),
-                             (F.col("d") * F.col("types") / F.col("total")).alias("left"), "types"))
-        if k > 1:
-            level = level.groupBy("lang", F.col("g").bitwiseAND((1 << (16 * (k - 1))) - 1).alias("g")).agg(F.count("*").alias("n"))
-    least = levels[1].select("lang", (F.col("left") / (F.col("types") + 1)).alias("p")).distinct()
-    below = levels[1].select("lang", "g", (F.col("own") + F.col("left") / (F.col("types") + 1)).alias("p"))
-    below = materialise(below, "kn-1")
-    parts = [least.select("lang", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("g"), "p"),
-             below.select("lang", F.lit(1).alias("kind"), "g", "p")]
-    for k in range(2, ORDER + 1):
-        low = below.select("lang", F.col("g").alias("low"), F.col("p").alias("low_p"))
-        here = levels[k].withColumn("low", F.col("g").bitwiseAND((1 << (16 * (k - 1))) - 1)).join(low, ["lang", "low"])
-        below = materialise(here.select("lang", "g", "ctx", "left", (F.col("own") + F.col("left") * F.col("low_p")).alias("p")), f"kn-{k}")
-        parts += [below.select("lang", F.lit(k).alias("kind"), "g", "p"),
-                  below.select("lang", F.lit(-k).alias("kind"), F.col("ctx").alias("g"), F.col("left").alias("p")).distinct()]
+    def low_bits(k: int) -> int:
+        return (1 << (16 * k)) - 1
+
+    n = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):
+        low = n[k + 1].groupBy("lang", F.col("g").bitwiseAND(low_bits(k)).alias("g"))
+        n[k] = materialise(low.agg(F.count("*").alias("n")), f"kn-count-{k}")
+    below, parts = None, []
+    for k in range(1, ORDER + 1):
+        d = n[k].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+        share = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+        d = d.select("lang", F.least(share, F.lit(0.9)).alias("d"))
+        same = Window.partitionBy("lang", "ctx")
+        here = n[k].withColumn("ctx", F.shiftrightunsigned("g", 16)).withColumn("total", F.sum("n").over(same)).withColumn(
+            "types", F.count("*").over(same)).join(d, "lang")
+        here = here.select("lang", "g", "ctx", "types", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"),
+                           (F.col("d") * F.col("types") / F.col("total")).alias("left"))
+        if below is None:
+            low_p, joined = 1 / (F.col("types") + 1), here
+        else:
+            low = below.select("lang", F.col("g").alias("low"), F.col("p").alias("low_p"))
+            low_p, joined = F.col("low_p"), here.withColumn("low", F.col("g").bitwiseAND(low_bits(k - 1))).join(low, ["lang", "low"])
+        below = materialise(joined.select("lang", "g", "ctx", "types", "left", (F.col("own") + F.col("left") * low_p).alias("p")), f"kn-{k}")
+        parts.append(below.select("lang", F.lit(k).alias("kind"), "g", "p"))
+        rest = F.col("left") / (F.col("types") + 1) if k == 1 else F.col("left")
+        parts.append(below.select("lang", F.lit(-k if k > 1 else 0).alias("kind"), F.col("ctx").alias("g"), rest.alias("p")).distinct())
     model = parts[0]
     for p in parts[1:]:
         model = model.unionByName(p)
+    model = materialise(model, "kn-model")
     return (model.select("lang", "kind", slot_of("g").alias("slot"), "p").groupBy("lang", "kind", "slot")
             .agg(F.log(F.max("p")).alias("logp")))
 
