@@ -39,10 +39,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = wfst.load(f"{TOKENIZERS}/piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents")
     text_batches(docs)
-    ids = docs.select("doc_id", "text", wfst.encoder(spark, model)("text").alias("token_ids"))
-    back = wfst.decoder(spark, model)("token_ids")
-    return ids.select("doc_id", "token_ids", F.size("token_ids").alias("n_tokens"),
-                      (back == F.translate(F.coalesce("text", F.lit("")), wfst.BLANK, " ")).alias("round_trip"))
+    coded = docs.select("doc_id", "text", wfst.coder(spark, model)("text").alias("coded"))
+    plain = F.translate(F.coalesce("text", F.lit("")), wfst.BLANK, " ")
+    return coded.select("doc_id", F.col("coded.ids").alias("token_ids"), F.size("coded.ids").alias("n_tokens"),
+                        (F.col("coded.text") == plain).alias("round_trip"))
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

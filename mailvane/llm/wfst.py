@@ -286,3 +286,16 @@ def decoder(spark: SparkSession, model: bytes):
 
     return f
 
+
+
+def coder(spark: SparkSession, model: bytes):
+    """A column function text -> struct of its ids and the text decoded from them; encodes once."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @pandas_udf("ids array<int>, text string")
+    def f(text: pd.Series) -> pd.DataFrame:
+        t = compiled(shared.value)
+        ids = [t.encode(x) for x in text]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "text": pd.Series([t.decode(x) for x in ids], dtype=object)})
+
+    return f
