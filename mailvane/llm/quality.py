@@ -115,17 +115,24 @@ def rules_of(forest) -> list[tuple[Condition, ...]]:
     return sorted(found)
 
 
-def fit(stats: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 3, lasso: float = 1e-3) -> RuleEnsemble:
-    """Fit on the learnable rows of ``stats`` (doc_id, stats) with a label in ``labels`` (doc_id, quality)."""
+def taught(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of the learnable rows of ``labels`` (doc_id, quality) whose document is in ``docs``.
+
+    Above MAX_FIT_ROWS, rows are taken by a hash of their id. Reads no text.
+    """
     y = labels.select("doc_id", F.col("quality").cast("double").alias("label")).filter(learnable(F.col("doc_id")) & F.col("label").isin(0.0, 1.0))
-    known = stats.select("doc_id", "stats").join(y, "doc_id")
-    known = materialise(known.select("doc_id", "label", "stats"), "quality-fit")
+    known = materialise(y.join(docs.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
+    part = min(1.0, MAX_FIT_ROWS / max(1, known.count()))
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(part * 1_000_000))
+
+
+def fit(stats: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 3, lasso: float = 1e-3) -> RuleEnsemble:
+    """Fit on the rows of ``stats`` (doc_id, stats) that ``labels`` (doc_id, label) names."""
+    known = materialise(stats.select("doc_id", "stats").join(labels, "doc_id").select("label", "stats"), "quality-fit")
     n, ones = known.agg(F.count("*"), F.sum("label")).first()
     if not n or ones in (0, n):
         share = ones / n if n else 1.0
         return RuleEnsemble(math.log(max(share, 1e-9) / max(1 - share, 1e-9)), [])
-    part = min(1.0, MAX_FIT_ROWS / n)
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(part * 1_000_000))
     vectors = known.select("label", "stats", array_to_vector(F.array(*[F.col(f"stats.{s}") for s in STATISTICS])).alias("features"))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=7).fit(vectors)
     rules = rules_of(forest)
@@ -144,8 +151,14 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``, all columns unchanged."""
-    ensemble = fit(measured(docs), labels)
+    """The rows of ``docs`` with a score of at least ``threshold``, all columns unchanged.
+
+    For the fit only the texts that are fitted on are measured; their ids are at
+    most about MAX_FIT_ROWS, which bounds the broadcast.
+    """
+    known = taught(docs, labels)
+    ids = F.broadcast(known.select("doc_id").distinct())
+    ensemble = fit(measured(docs.join(ids, "doc_id", "left_semi")), known)
     text_batches(docs)
     rows = docs.select(F.struct("*").alias("_row"), statistics_of(F.col("text")).alias("_stats"))
     return rows.filter(ensemble.score("_stats") >= threshold).select("_row.*")

@@ -52,7 +52,7 @@ def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.measured(table(spark, sf_dir, "documents"))
-    ensemble = quality.fit(stats, table(spark, sf_dir, "labels"))
+    ensemble = quality.fit(stats, quality.taught(stats, table(spark, sf_dir, "labels")))
     scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), ensemble.score("stats").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
