@@ -68,6 +68,7 @@ class SyncResult:
     worklist: DataFrame   # folder, uid, reason, checkpoint
     indexed: DataFrame    # rows written this run (input of the postings refresh, I8)
     reset_folders: DataFrame
+    changed: DataFrame    # messages this run wrote or soft-deleted; ``fresh``: written (S7)
 
 
 def needs_reset(prev_epoch: Column, cur_epoch: Column, has_state: Column) -> Column:
@@ -219,7 +220,7 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     kept = (messages.select(*cols)
             .join(reset_folders, "folder", "left_anti")
             .join(indexed.select("folder", "uid"), ["folder", "uid"], "left_anti"))
-    upserted = kept.unionByName(indexed.select(*cols))
+    upserted = kept.withColumn("fresh", F.lit(False)).unionByName(indexed.select(*cols, F.lit(True).alias("fresh")))
 
     # soft delete: active rows missing from a successful full listing
     # Only folders due for a full check meet the listing; every other row passes through untouched,
@@ -236,10 +237,11 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
         *[c for c in cols if c not in ("is_deleted", "deleted_at")],
         (F.col("is_deleted") | F.col("gone")).alias("is_deleted"),
         F.when(F.col("gone"), ts.cast("timestamp")).otherwise(F.col("deleted_at")).alias("deleted_at"),
-        "gone",
+        "gone", "fresh",
     )
     deleted = new_messages.filter("gone").groupBy("folder").agg(F.count(F.lit(1)).alias("deleted_count"))
-    new_messages = new_messages.drop("gone").select(*cols)
+    changed = new_messages.filter("gone or fresh").select(*cols, "fresh")
+    new_messages = new_messages.select(*cols)
 
     per = (d.join(done, "folder", "left").join(counts, "folder", "left").join(deleted, "folder", "left")
            .withColumn("last_uid", F.greatest(F.col("eff_last_uid"), F.col("done_max"))))
@@ -258,7 +260,7 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     untouched = st.select("folder", "uidvalidity", "last_uid", "last_full_check_at").join(
         d.select("folder"), "folder", "left_anti")
     return SyncResult(new_messages, untouched.unionByName(touched_state), metrics, work,
-                      indexed, reset_folders)
+                      indexed, reset_folders, changed)
 
 
 def refresh_index_after(index, result: SyncResult, with_positions: bool = False):

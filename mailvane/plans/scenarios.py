@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..operators import reading, sync
+from ..session import scratch_path
 from ..sources import tables
+from ..sources.store import MailStore, commit_sync, write_full
 from . import catalog
 from . import fixture as fx
 from . import oracle as o
@@ -84,11 +86,12 @@ def mailbox(spark: SparkSession, d: str) -> DataFrame:
     return catalog.source(spark, d).withColumn("ok", fx.fetch_ok(F.col("uid")))
 
 
-def run(spark: SparkSession, d: str, allow_blocked: bool = False) -> sync.SyncResult:
+def run(spark: SparkSession, d: str, allow_blocked: bool = False, prior: tuple[DataFrame, DataFrame] | None = None) -> sync.SyncResult:
+    """The second run over ``prior`` (messages, state), by default what the first left."""
     opts = sync.SyncOptions(INITIAL_LIMIT, INCREMENTAL_LIMIT, False, allow_blocked, fx.POLICY_KEYWORDS,
                             policy.COMPENSATION_BLOCK_REASON)
-    return sync.sync(listing(spark, d), mailbox(spark, d), prior_messages(spark, d), prior_state(spark, d),
-                     opts, fx.RUN_TS)
+    messages, state = prior or (prior_messages(spark, d), prior_state(spark, d))
+    return sync.sync(listing(spark, d), mailbox(spark, d), messages, state, opts, fx.RUN_TS)
 
 
 def _fmt(c: str) -> F.Column:
@@ -222,6 +225,16 @@ register("sync_worklist", SQL_WORKLIST)(lambda spark, d: run(spark, d).worklist)
 register("sync_checkpoint", SQL_STATE)(
     lambda spark, d: run(spark, d).state.select("folder", "uidvalidity", "last_uid", _fmt("last_full_check_at")))
 register("sync_upsert", SQL_MESSAGES)(lambda spark, d: _messages_out(run(spark, d).messages))
+
+
+@register("store_commit", SQL_MESSAGES)
+def store_commit(spark, d):
+    store = MailStore(spark, scratch_path(spark, "store-commit"))
+    write_full(store, prior_messages(spark, d), prior_state(spark, d))
+    commit_sync(store, run(spark, d, prior=(store.messages(), store.state())))
+    return _messages_out(store.messages())
+
+
 register("sync_deleted", SQL_DELETED)(
     lambda spark, d: run(spark, d).messages.filter("is_deleted").select("folder", "uid", _fmt("deleted_at")))
 register("sync_metrics", SQL_METRICS)(lambda spark, d: run(spark, d).metrics)
