@@ -232,22 +232,23 @@ def fallback_search(messages: DataFrame, queries: DataFrame, answered: DataFrame
     nothing.
     """
     q = queries if "tokens" in queries.columns and answered is None else _unanswered(queries, answered)
+    active = messages.filter(~F.col("is_deleted"))
     # fold each message once, before the join multiplies it by the folder's pending queries
-    m = messages.filter(~F.col("is_deleted")).select(
-        "folder", "uid", "subject", "sender", "date", "body", "is_deleted", "body_index_blocked",
-        "block_reason", ascii_lower(F.col("subject")).alias("_subj"),
-        ascii_lower(F.coalesce(F.col("body"), F.lit(""))).alias("_body"))
+    m = active.select("folder", "uid", ascii_lower(F.col("subject")).alias("_subj"),
+                      ascii_lower(F.coalesce(F.col("body"), F.lit(""))).alias("_body"))
     cond = F.forall("tokens", lambda t: F.like(F.col("_subj"), F.concat(F.lit("%"), t, F.lit("%")))
                     | F.like(F.col("_body"), F.concat(F.lit("%"), t, F.lit("%"))))
-    hits = m.join(q, "folder").filter(cond).drop("_subj", "_body")
+    # keys only are ranked; texts are joined for the rows that stay
+    hits = m.join(q, "folder").filter(cond).select("query_id", "folder", "uid", "q_limit")
     w = Window.partitionBy("query_id").orderBy(F.col("uid").desc())
     top = (hits.withColumn("rank", F.row_number().over(w))
            .filter(F.col("rank") <= F.lit(_limit_bound(q)))
            .filter(F.col("rank") <= F.col("q_limit")))
-    return top.select(
-        "query_id", "folder", "uid", "subject", "sender", "date",
-        (shorten(F.col("body")) if with_excerpt else F.lit(None).cast("string")).alias("excerpt"),
-        F.lit(0.0).alias("score"), "is_deleted", "body_index_blocked", "block_reason", "rank")
+    rows = active.select("folder", "uid", "subject", "sender", "date", "is_deleted", "body_index_blocked", "block_reason",
+                         (shorten(F.col("body")) if with_excerpt else F.lit(None).cast("string")).alias("excerpt"))
+    return top.join(rows, ["folder", "uid"]).select(
+        "query_id", "folder", "uid", "subject", "sender", "date", "excerpt", F.lit(0.0).alias("score"), "is_deleted",
+        "body_index_blocked", "block_reason", "rank")
 
 
 def search_context(sync_fn, search_fn):
