@@ -280,9 +280,9 @@ register("shorten_excerpt", f"SELECT doc_id, {o.shorten_sql('text')} AS excerpt
 _TOK_CTE = (f"tok AS (SELECT folder, uid, unnest({o.terms_sql('subject')}) AS term FROM m "
             f"UNION ALL SELECT folder, uid, unnest({o.terms_sql('body')}) AS term FROM m)")
 
-register("index_postings",
-         f"WITH {o.MESSAGES_CTE}, {_TOK_CTE} SELECT term, folder, uid, CAST(count(*) AS INTEGER) AS tf "
-         f"FROM tok GROUP BY 1, 2, 3")(
+POSTINGS_SQL = (f"WITH {o.MESSAGES_CTE}, {_TOK_CTE} SELECT term, folder, uid, CAST(count(*) AS INTEGER) AS tf "
+                f"FROM tok GROUP BY 1, 2, 3")
+register("index_postings", POSTINGS_SQL)(
     lambda spark, d: ix.build_postings(indexed(spark, d), with_positions=False))
 
 register("index_term_stats",

@@ -3,120 +3,153 @@
 * ST1: ``readStream`` over a landing folder, ``trigger(availableNow=True)``
   for scheduled runs; the streaming checkpoint remembers which files were
   read.
-* ST3: per-folder position and epoch kept in streaming state
-  (``applyInPandasWithState`` keyed by folder): rows above the stored uid
+* ST3: the position and epoch of every folder are a small table, written
+  with each micro-batch. The batch is joined to it: rows above the stored uid
   pass; an epoch change or an unknown epoch restarts the folder.
-* ST2: ``foreachBatch`` keyed upsert of each micro-batch into the
-  folder-partitioned index table; only touched folders are rewritten, and a
-  replayed batch rewrites the same rows instead of duplicating them.
+* ST2: every micro-batch is a run of a ``MailStore``: its messages, their
+  postings and lengths, what they replace, and the state last.
 * ST4: ``maxFilesPerTrigger`` bounds the work per micro-batch.
+
+Rows never pass through Python and no folder is gathered in one task: the
+only grouping by folder is a maximum, combined before its shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sync import needs_reset
 from ..session import checkpoint_dir, scratch_path
-from ..sources.tables import path_exists
+from ..sources.store import MESSAGE_COLS, MailStore, commit_run, compact
 
-GATE_STATE = T.StructType([
-    T.StructField("last_uid", T.LongType()),
-    T.StructField("uidvalidity", T.LongType()),
-])
+POSITIONS = "folder string, uidvalidity long, last_uid long"
 
 
 def message_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
-                   max_files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """Streaming read of message files landing under ``path`` (ST1, ST4)."""
+                   max_files_per_trigger: int | None = None, fmt: str = "parquet",
+                   arrival: str | None = None) -> DataFrame:
+    """Streaming read of message files landing under ``path`` (ST1, ST4).
+
+    ``arrival`` names a column to add: (file time, file path) of each row, by
+    which ``upsert_batches`` can tell the later of two writes.
+    """
     r = spark.readStream.schema(schema).format(fmt)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.load(path)
-
-
-def _gate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_uid, epoch = (None, None)
-    if state.exists:
-        last_uid, epoch = state.get
-    new_last, new_epoch = last_uid, epoch
-    for pdf in pdfs:
-        if pdf.empty:
-            continue
-        cur = pdf["uidvalidity"].max()
-        cur = None if pd.isna(cur) else int(cur)
-        resume = last_uid is not None and epoch is not None and cur is not None and cur == epoch
-        out = pdf[pdf["uid"] > last_uid] if resume else pdf
-        if not resume and new_epoch != cur:
-            new_last = None
-        new_epoch = cur
-        if len(out):
-            top = int(out["uid"].max())
-            new_last = top if new_last is None else max(new_last, top)
-        yield out
-    state.update((new_last, new_epoch))
-
-
-def gate_new(stream: DataFrame) -> DataFrame:
-    """Keep rows above each folder's stored position; epoch change restarts the folder (ST3).
-
-    ``stream`` needs ``folder, uid, uidvalidity``. State is one small row per
-    folder; the rows of a micro-batch are handled chunk by chunk, never
-    gathered.
-    """
-    return stream.groupBy("folder").applyInPandasWithState(
-        _gate, outputStructType=stream.schema, stateStructType=GATE_STATE,
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+    rows = r.load(path)
+    if arrival:
+        rows = rows.withColumn(arrival, F.struct("_metadata.file_modification_time", "_metadata.file_path"))
+    return rows
+
+
+def folder_epochs(batch: DataFrame) -> DataFrame:
+    """``_folder, _epoch``: the epoch of each folder in a batch, the highest known one."""
+    return batch.groupBy(F.col("folder").alias("_folder")).agg(F.max("uidvalidity").alias("_epoch"))
 
 
-def run_to_table(stream: DataFrame, table_path: str, checkpoint_location: str | None = None,
-                 partition_by: str | None = "folder") -> str:
-    """Run a stream over everything available now into a Parquet table (ST1)."""
+def _of_epoch(batch: DataFrame, epochs: DataFrame) -> DataFrame:
+    """Rows of the folder's epoch, or of an unknown one; older epochs no longer name messages."""
+    return batch.join(epochs, F.col("folder").eqNullSafe(F.col("_folder"))).filter(
+        F.coalesce("uidvalidity", "_epoch").eqNullSafe(F.col("_epoch")))
+
+
+def gate_new(batch: DataFrame, positions: DataFrame) -> DataFrame:
+    """Rows of ``batch`` above each folder's position; an epoch change restarts the folder (ST3).
+
+    ``batch`` has ``folder, uid, uidvalidity``; ``positions(folder,
+    uidvalidity, last_uid)`` has one row per folder read so far. A folder
+    resumes only where both epochs are known and equal. Inside a batch only
+    rows of the folder's highest epoch count; a row of unknown epoch counts as
+    one of that epoch.
+    """
+    known = positions.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"), "last_uid")
+    start = folder_epochs(batch).join(known, F.col("_folder").eqNullSafe(F.col("_f")), "left").select(
+        "_folder", "_epoch", F.when(F.col("_known") == F.col("_epoch"), F.col("last_uid")).alias("_after"))
+    return (_of_epoch(batch, start).filter(F.col("_after").isNull() | (F.col("uid") > F.col("_after")))
+            .select(*batch.columns))
+
+
+def advance(positions: DataFrame, batch: DataFrame, passed: DataFrame) -> DataFrame:
+    """Positions after the rows ``passed`` of ``batch`` were read."""
+    top = passed.groupBy(F.col("folder").alias("_p")).agg(F.max("uid").alias("_top"))
+    known = positions.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"), "last_uid")
+    epochs = folder_epochs(batch)
+    seen = (epochs.join(known, F.col("_folder").eqNullSafe(F.col("_f")), "left")
+            .join(top, F.col("_folder").eqNullSafe(F.col("_p")), "left")
+            .select(F.col("_folder").alias("folder"), F.col("_epoch").alias("uidvalidity"),
+                    F.greatest("_top", F.when(F.col("_known").eqNullSafe(F.col("_epoch")), F.col("last_uid")))
+                    .alias("last_uid")))
+    return positions.join(epochs, F.col("folder").eqNullSafe(F.col("_folder")), "left_anti").unionByName(seen)
+
+
+def run_to_table(stream: DataFrame, root: str, positions: DataFrame | None = None) -> str:
+    """Run everything available now through the gate into ``root`` (ST1, ST3); returns the folder of the rows.
+
+    ``rows/batch=n`` and ``positions/batch=n`` belong to micro-batch n, and the
+    streaming checkpoint lies beside them. A batch reads the positions that the
+    one before it wrote and overwrites its own files, so a replayed batch
+    leaves the same rows. ``positions`` is where the first batch starts.
+    """
     spark = stream.sparkSession
-    ck = checkpoint_location or scratch_path(spark, "stream-ckpt")
-    w = stream.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", ck)
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    q = w.outputMode("append").trigger(availableNow=True).start()
+    first = positions if positions is not None else spark.createDataFrame([], POSITIONS)
+
+    def apply(batch: DataFrame, n: int) -> None:
+        s = batch.sparkSession
+        before = first if n == 0 else s.read.schema(POSITIONS).parquet(f"{root}/positions/batch={n - 1}")
+        rows = f"{root}/rows/batch={n}"
+        gate_new(batch, before).write.mode("overwrite").parquet(rows)
+        after = advance(before, batch, s.read.schema(batch.schema).parquet(rows))
+        after.write.mode("overwrite").parquet(f"{root}/positions/batch={n}")
+
+    q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/stream")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return table_path
+    return f"{root}/rows"
 
 
-def upsert_batches(stream: DataFrame, table_root: str, key=("folder", "uid"),
-                   checkpoint_location: str | None = None, order_col: str = "synced_at") -> str:
-    """Keyed upsert of every micro-batch into a folder-partitioned table (ST2).
+def upsert_batches(stream: DataFrame, store: MailStore, checkpoint_location: str | None = None,
+                   order_by: tuple[str, ...] = ("uidvalidity", "synced_at"),
+                   compact_at: int | None = None) -> MailStore:
+    """Keyed upsert of every micro-batch into ``store``, messages and postings together (ST2).
 
-    Per batch: the current rows of the folders the batch touches, minus the
-    batch's keys, plus the batch (last write per key wins inside a batch),
-    checkpointed and written back with dynamic partition overwrite. Only
-    touched folders are rewritten; a replayed batch produces the same rows.
-    Returns ``table_root``.
+    ``stream`` has the message columns and those of ``order_by``, by which the
+    last write per ``(folder, uid)`` of a batch wins (nulls first); equal ones
+    go by a hash of the row without ``synced_at``, so a replay chooses the same
+    row. A folder whose epoch changed is reset. A run writes what the batch
+    changes; with ``compact_at``, that many runs are rewritten as one. A
+    replayed batch replaces its own rows. Returns ``store``.
     """
     spark = stream.sparkSession
     ck = checkpoint_location or scratch_path(spark, "upsert-ckpt")
     checkpoint_dir(spark)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*key).orderBy(F.col(order_col).desc_nulls_last(), F.xxhash64(*batch.columns))
-        fresh = batch.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-        rows = fresh
-        if path_exists(spark, table_root):
-            current = batch.sparkSession.read.schema(batch.schema).parquet(table_root)
-            old = current.join(fresh.select("folder").distinct(), "folder", "left_semi")
-            rows = old.join(fresh.select(*key), list(key), "left_anti").select(*fresh.columns).unionByName(fresh)
-        rows = rows.checkpoint(eager=True)
-        (rows.hint("rebalance", "folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("folder").parquet(table_root))
+    def apply(batch: DataFrame, n: int) -> None:
+        state = store.state()
+        epochs = folder_epochs(batch)
+        tie = F.xxhash64(*[c for c in MESSAGE_COLS if c != "synced_at"])
+        last = Window.partitionBy("folder", "uid").orderBy(*[F.col(c).desc_nulls_last() for c in order_by], tie)
+        changed = (_of_epoch(batch, epochs).withColumn("_r", F.row_number().over(last)).filter("_r = 1")
+                   .select(*MESSAGE_COLS, F.lit(True).alias("fresh")).checkpoint(eager=True))
+        known = state.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"), "last_uid",
+                             "last_full_check_at", F.lit(True).alias("_has"))
+        top = changed.groupBy(F.col("folder").alias("_p")).agg(F.max("uid").alias("_top"))
+        reset = needs_reset(F.col("_known"), F.col("_epoch"), F.coalesce("_has", F.lit(False)))
+        seen = (epochs.join(known, F.col("_folder").eqNullSafe(F.col("_f")), "left")
+                .join(top, F.col("_folder").eqNullSafe(F.col("_p")), "left")
+                .select(F.col("_folder").alias("folder"), F.coalesce("_epoch", "_known").alias("uidvalidity"),
+                        F.greatest("_top", F.when(~reset, F.col("last_uid"))).alias("last_uid"),
+                        F.when(~reset, F.col("last_full_check_at")).alias("last_full_check_at"),
+                        reset.alias("_reset")).checkpoint(eager=True))
+        untouched = state.join(seen.select(F.col("folder").alias("_f")), F.col("folder").eqNullSafe(F.col("_f")),
+                               "left_anti")
+        commit_run(store, changed, seen.filter("_reset"), untouched.unionByName(seen.drop("_reset")))
+        if compact_at and len(store.runs()) >= compact_at:
+            compact(store)
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
-    return table_root
+    return store

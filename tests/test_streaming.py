@@ -2,45 +2,85 @@ import os
 
 from pyspark.sql import functions as F
 
+from mailvane.operators import index as ix
 from mailvane.session import scratch_path
+from mailvane.sources.store import MailStore
+from mailvane.sources.tables import as_index_rows
 from mailvane.streaming import poll
 
 SCHEMA = "folder string, uid long, uidvalidity long, subject string"
+POSITIONS = poll.POSITIONS
 
 
 def land(spark, path, rows, name):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, name))
 
 
+def keys(df):
+    return sorted((r["folder"], r["uid"]) for r in df.collect())
+
+
 def test_position_gate_across_polls(spark, tmp_dir):
-    landing = os.path.join(tmp_dir, "landing")
-    out = os.path.join(tmp_dir, "out")
-    ck = scratch_path(spark, "gate")
+    landing, out = os.path.join(tmp_dir, "landing"), os.path.join(tmp_dir, "out")
     schema = spark.createDataFrame([], SCHEMA).schema
     land(spark, landing, [("INBOX", 1, 777, "a"), ("INBOX", 2, 777, "b"), ("Sent", 5, 1, "c")], "b1")
 
     def poll_once():
         s = poll.message_stream(spark, landing + "/*", schema, max_files_per_trigger=1)
-        poll.run_to_table(poll.gate_new(s), out, ck)
-        return sorted((r["folder"], r["uid"]) for r in spark.read.parquet(out).collect())
+        return keys(spark.read.parquet(poll.run_to_table(s, out)))
 
     assert poll_once() == [("INBOX", 1), ("INBOX", 2), ("Sent", 5)]
-    # a late uid (<= position) is not returned, a new one is
+    # a late uid (<= position) is not returned, a new one is; Sent keeps its position meanwhile
     land(spark, landing, [("INBOX", 2, 777, "late"), ("INBOX", 3, 777, "new")], "b2")
     assert poll_once() == [("INBOX", 1), ("INBOX", 2), ("INBOX", 3), ("Sent", 5)]
     # epoch change restarts the folder
-    land(spark, landing, [("INBOX", 1, 888, "reset")], "b3")
+    land(spark, landing, [("INBOX", 1, 888, "reset"), ("Sent", 5, 1, "late")], "b3")
     got = poll_once()
-    assert got.count(("INBOX", 1)) == 2
+    assert got.count(("INBOX", 1)) == 2 and got.count(("Sent", 5)) == 1
+    last = spark.read.parquet(f"{out}/positions/batch=2")
+    assert sorted(map(tuple, last.select("folder", "uidvalidity", "last_uid").collect())) == [("INBOX", 888, 1), ("Sent", 1, 5)]
+
+
+def test_gate_unknown_epochs_null_folders_and_mixed_batch(spark):
+    batch = spark.createDataFrame([
+        ("A", 1, None, ""), ("B", 1, 5, ""), ("B", 9, 4, "older epoch"), ("B", 3, None, "as the folder's"),
+        (None, 2, 7, ""), (None, 1, 7, ""), ("C", 4, 7, "")], SCHEMA)
+    at = spark.createDataFrame([("A", 7, 10), ("B", 5, 2), (None, 7, 1), ("D", 1, 8)], POSITIONS)
+    passed = poll.gate_new(batch, at)
+    got = {(r["folder"], r["uid"]) for r in passed.collect()}
+    assert got == {("A", 1), ("B", 3), (None, 2), ("C", 4)}
+    after = {tuple(r) for r in poll.advance(at, batch, passed).select("folder", "uidvalidity", "last_uid").collect()}
+    assert after == {("A", None, 1), ("B", 5, 3), (None, 7, 2), ("C", 7, 4), ("D", 1, 8)}
+    assert poll.gate_new(batch.limit(0), at).count() == 0
+
 
+def as_messages(rows):
+    return as_index_rows(rows.select(
+        "folder", "uid", "uidvalidity", "subject", F.lit("x@example.com").alias("sender"), F.lit("").alias("date"),
+        F.concat(F.lit("text of "), F.col("subject")).alias("body"), F.lit("plain").alias("body_text_type"),
+        F.lit(False).alias("truncated"), *[c for c in rows.columns if c == "arrived"]))
 
-def test_upsert_batches_keyed(spark, tmp_dir):
-    landing = os.path.join(tmp_dir, "landing2")
+
+def test_upsert_batches_messages_and_postings(spark, tmp_dir):
+    landing, ck = os.path.join(tmp_dir, "landing2"), scratch_path(spark, "upsert")
     schema = spark.createDataFrame([], SCHEMA).schema
-    land(spark, landing, [("INBOX", 1, 777, "a"), ("INBOX", 2, 777, "b")], "b1")
-    land(spark, landing, [("INBOX", 2, 777, "b2"), ("INBOX", 3, 777, "c")], "b2")
-    s = poll.message_stream(spark, landing + "/*", schema, max_files_per_trigger=1)
-    s = s.withColumn("synced_at", F.current_timestamp())
-    last = poll.upsert_batches(s, os.path.join(tmp_dir, "table"))
-    rows = sorted((r["uid"], r["subject"]) for r in spark.read.parquet(last).collect())
-    assert [u for u, _ in rows] == [1, 2, 3]
+    store = MailStore(spark, os.path.join(tmp_dir, "store"))
+
+    def poll_once():
+        s = poll.message_stream(spark, landing + "/*", schema, max_files_per_trigger=1)
+        poll.upsert_batches(as_messages(s), store, ck, compact_at=3)
+        got = {(r["folder"], r["uid"]): r["subject"] for r in store.messages().collect()}
+        rebuilt = ix.build_index(store.messages())
+        for a, b in ((store.index().postings, rebuilt.postings), (store.index().doc_len, rebuilt.doc_len)):
+            assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+        return got
+
+    land(spark, landing, [("INBOX", 1, 777, "one"), ("INBOX", 2, 777, "two"), ("001", 1, 1, "other")], "b1")
+    assert poll_once() == {("INBOX", 1): "one", ("INBOX", 2): "two", ("001", 1): "other"}
+    land(spark, landing, [("INBOX", 2, 777, "second"), ("INBOX", 3, 777, "three")], "b2")
+    assert poll_once() == {("INBOX", 1): "one", ("INBOX", 2): "second", ("INBOX", 3): "three", ("001", 1): "other"}
+    # a new epoch resets its folder only; three runs become one
+    land(spark, landing, [("INBOX", 1, 778, "anew")], "b3")
+    assert poll_once() == {("INBOX", 1): "anew", ("001", 1): "other"}
+    assert len(store.runs()) == 1
+    assert {(r["folder"], r["uidvalidity"], r["last_uid"]) for r in store.state().collect()} == {("INBOX", 778, 1), ("001", 1, 1)}
