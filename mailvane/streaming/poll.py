@@ -4,8 +4,9 @@
   for scheduled runs; the streaming checkpoint remembers which files were
   read.
 * ST3: the position and epoch of every folder are a small table, written
-  with each micro-batch. The batch is joined to it: rows above the stored uid
-  pass; an epoch change or an unknown epoch restarts the folder.
+  with each micro-batch. The batch is joined to the one from which its run
+  started: rows above the stored uid pass, in whatever order the files of a
+  run hold them; an epoch change or an unknown epoch restarts the folder.
 * ST2: every micro-batch is a run of a ``MailStore``: its messages, their
   postings and lengths, what they replace, and the state last.
 * ST4: ``maxFilesPerTrigger`` bounds the work per micro-batch.
@@ -86,28 +87,64 @@ def advance(positions: DataFrame, batch: DataFrame, passed: DataFrame) -> DataFr
     return positions.join(epochs, F.col("folder").eqNullSafe(F.col("_folder")), "left_anti").unionByName(seen)
 
 
+def _batch_numbers(spark: SparkSession, pattern: str) -> set[int]:
+    """Batch numbers of the paths that match."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return {int(f.getPath().getName().split("=")[1]) for f in found or ()}
+
+
 def run_to_table(stream: DataFrame, root: str, positions: DataFrame | None = None) -> str:
     """Run everything available now through the gate into ``root`` (ST1, ST3); returns the folder of the rows.
 
     ``rows/batch=n`` and ``positions/batch=n`` belong to micro-batch n, and the
-    streaming checkpoint lies beside them. A batch reads the positions that the
-    one before it wrote and overwrites its own files, so a replayed batch
-    leaves the same rows. ``positions`` is where the first batch starts.
+    streaming checkpoint lies beside them. A batch overwrites its own files, so
+    a replayed batch leaves the same rows. ``positions`` is where the first run
+    starts.
+
+    The files of a run may hold the uids of a folder in any order, so every
+    batch is gated against the positions at the start of its run. A message
+    that an earlier batch of the run returned is not returned again, and rows
+    of an epoch older than one met in the run do not pass. ``runs/batch=n``
+    marks a run that ended with batch n; a run that died goes on from the
+    positions at its own start.
     """
     spark = stream.sparkSession
     first = positions if positions is not None else spark.createDataFrame([], POSITIONS)
+    base = max(_batch_numbers(spark, f"{root}/runs/batch=*"), default=-1)
+
+    def at(s: SparkSession, n: int) -> DataFrame:
+        return first if n < 0 else s.read.schema(POSITIONS).parquet(f"{root}/positions/batch={n}")
+
+    def of_run(s: SparkSession, name: str, schema, n: int) -> DataFrame:
+        """A table of the batches of this run before n."""
+        return s.read.schema(schema).parquet(*[f"{root}/{name}/batch={i}" for i in range(base + 1, n)])
 
     def apply(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
-        before = first if n == 0 else s.read.schema(POSITIONS).parquet(f"{root}/positions/batch={n - 1}")
+        folder_epochs(batch).write.mode("overwrite").parquet(f"{root}/epochs/batch={n}")
+        if n > base + 1:
+            met = of_run(s, "epochs", "_folder string, _epoch long", n).groupBy("_folder").agg(F.max("_epoch").alias("_epoch"))
+            older = F.col("folder").eqNullSafe(F.col("_folder")) & (F.col("uidvalidity") < F.col("_epoch"))
+            batch = batch.join(met, older, "left_anti")
+        passed = gate_new(batch, at(s, base))
+        if n > base + 1:
+            done = of_run(s, "rows", batch.schema, n).select(
+                F.col("folder").alias("_f"), F.col("uid").alias("_u"), F.col("uidvalidity").alias("_e"))
+            same = (F.col("folder").eqNullSafe(F.col("_f")) & F.col("uid").eqNullSafe(F.col("_u"))
+                    & F.coalesce("uidvalidity", "_e").eqNullSafe(F.coalesce("_e", "uidvalidity")))
+            passed = passed.join(done, same, "left_anti")
         rows = f"{root}/rows/batch={n}"
-        gate_new(batch, before).write.mode("overwrite").parquet(rows)
-        after = advance(before, batch, s.read.schema(batch.schema).parquet(rows))
+        passed.write.mode("overwrite").parquet(rows)
+        after = advance(at(s, n - 1), batch, s.read.schema(batch.schema).parquet(rows))
         after.write.mode("overwrite").parquet(f"{root}/positions/batch={n}")
 
     q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/stream")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    last = max(_batch_numbers(spark, f"{root}/positions/batch=*"), default=-1)
+    if last > base:
+        spark.range(0).write.mode("overwrite").parquet(f"{root}/runs/batch={last}")
     return f"{root}/rows"
 
 
