@@ -7,8 +7,10 @@ piece stands unchanged in every such occurrence; an automaton finds all pieces
 in a text, and Myers' distance verifies the text around each hit.
 
 Defined results: a null or empty text has no hit; an item that is null or
-without a letter or digit is in no text; an item shorter than MIN_BYTES is in a
-text only that equals it (a short phrase is not evidence); of several places of
+without a letter or digit is in no text; an item shorter than MIN_BYTES is
+found without an edit and between word boundaries only, one shorter than
+TINY_BYTES and of fewer than TINY_WORDS words only as the whole text (such a
+phrase is not evidence); items may be of any length; of several places of
 an item in a text the one of the smallest distance, then smallest position, is
 given; repeated rows and repeated items give repeated hits; empty tables give
 no hits. Columns other than doc_id, text and item_id are not read.
@@ -17,6 +19,7 @@ no hits. Columns other than doc_id, text and item_id are not read.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import defaultdict
 
 import ahocorasick
@@ -29,9 +32,13 @@ from .common import text_batches
 
 RATE = 0.08
 MIN_BYTES = 24
-#: Items of one pass over the texts: the size bound of what is broadcast is this many items of at most MAX_ITEM_CHARS.
+TINY_BYTES, TINY_WORDS = 8, 3
+#: Items and characters of one pass over the texts, which bound what is broadcast; a longer item is in a pass whole.
 BLOCK_ITEMS = 4_000
-MAX_ITEM_CHARS = 50_000
+BLOCK_CHARS = 2_000_000
+#: Code points of scripts written without blanks between words.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x9FFF),
+             (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 
 _FOLD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 
@@ -42,6 +49,18 @@ def normal(text: str | None) -> str:
     return b" ".join(b.translate(_FOLD).split()).decode("latin-1")
 
 
+def _inside_word(x: str, at: int) -> bool:
+    """Whether a word of the compared form ``x`` goes on over the place ``at``; unspaced scripts have a boundary everywhere."""
+    sides = (x[max(0, at - 4):at].encode("latin-1").decode("utf-8", "ignore")[-1:], x[at:at + 4].encode("latin-1").decode("utf-8", "ignore")[:1])
+    return all(c and unicodedata.category(c)[0] in "LNM" and not any(a <= ord(c) <= b for a, b in _UNSPACED) for c in sides)
+
+
+def places_of(item: str) -> dict[str, int]:
+    """For each character of ``item`` its places as bits."""
+    back = item[::-1].encode("latin-1")
+    return {chr(c): int(back.translate(bytes(49 if i == c else 48 for i in range(256))), 2) for c in set(back)}
+
+
 def best_match(item: str, masks: dict[str, int], window: str, budget: int) -> tuple[int, int] | None:
     """(distance, end) of the closest part of ``window``, the first of several, or None beyond ``budget``.
 
@@ -75,18 +94,15 @@ class Items:
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in rows:
             x = normal(text)
-            if len(x) < MIN_BYTES:
+            if len(x) < TINY_BYTES and x.count(" ") + 1 < TINY_WORDS:
                 if x:
                     self.whole[x].append(item_id)
                 continue
-            k = math.floor(rate * len(x))
-            masks: dict[str, int] = defaultdict(int)
-            for i, ch in enumerate(x):
-                masks[ch] |= 1 << i
+            k = math.floor(rate * len(x)) if len(x) >= MIN_BYTES else 0
             cuts = [round(j * len(x) / (k + 1)) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces[x[a:b]].append((len(self.items), a))
-            self.items.append((item_id, x, k, dict(masks)))
+            self.items.append((item_id, x, k, places_of(x) if k else {}))
         self.automaton = ahocorasick.Automaton()
         for p, places in pieces.items():
             self.automaton.add_word(p, (len(p), places))
@@ -100,39 +116,46 @@ class Items:
         if not self.items or not x:
             return out
         best: dict[int, tuple[int, int]] = {}
-        tried = set()
+        bands: dict[int, set[int]] = defaultdict(set)
         for end, (size, places) in self.automaton.iter(x):
             for which, offset in places:
                 start = end + 1 - size - offset
-                _, item, k, masks = self.items[which]
-                if best.get(which, (1,))[0] == 0:
+                _, item, k, _ = self.items[which]
+                if which in best:
                     continue
                 if start >= 0 and x.startswith(item, start):
-                    best[which] = (0, start + len(item))
-                    continue
-                # one window serves all hits whose starts share a band of k places
-                band = start // (k + 1)
-                if (which, band) in tried:
-                    continue
-                tried.add((which, band))
-                a, b = band * (k + 1) - k, band * (k + 1) + k + len(item) + k
-                if found := best_match(item, masks, x[max(0, a):b], k):
-                    best[which] = min(best.get(which, (k + 1, 0)), (found[0], max(0, a) + found[1]))
+                    if len(item) >= MIN_BYTES or not (_inside_word(x, start) or _inside_word(x, start + len(item))):
+                        best[which] = (0, start + len(item))
+                elif k:
+                    bands[which].add(start // (k + 1))
+        # one window serves all hits whose starts share a band of k places; windows that meet are searched as one
+        for which, at in bands.items():
+            _, item, k, masks = self.items[which]
+            if which in best:
+                continue
+            windows: list[list[int]] = []
+            for band in sorted(at):
+                a, b = max(0, band * (k + 1) - k), band * (k + 1) + k + len(item) + k
+                if windows and a <= windows[-1][1]:
+                    windows[-1][1] = b
+                else:
+                    windows.append([a, b])
+            for a, b in windows:
+                if min(b, len(x)) - a >= len(item) - k and (found := best_match(item, masks, x[a:b], k)):
+                    best[which] = min(best.get(which, (k + 1, 0)), (found[0], a + found[1]))
         return out + [(self.items[w][0], d, e) for w, (d, e) in best.items()]
 
 
 def blocks(items: DataFrame) -> list[DataFrame]:
-    """``items`` dealt into blocks of about BLOCK_ITEMS rows by a hash, each of which one pass handles."""
-    n = items.count()
-    parts = max(1, math.ceil(n / BLOCK_ITEMS))
+    """``items`` dealt by a hash into blocks of about BLOCK_ITEMS rows and BLOCK_CHARS characters at most, each of which one pass handles."""
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, math.ceil(n / BLOCK_ITEMS), math.ceil(chars / BLOCK_CHARS))
     return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def finder(block: DataFrame, rate: float = RATE):
     """A column function text -> array of (item_id, distance, at) for one block of items."""
     rows = [(r["item_id"], r["text"]) for r in block.select("item_id", "text").filter("text is not null").toLocalIterator()]
-    if any(len(t) > MAX_ITEM_CHARS for _, t in rows):
-        raise ValueError(f"an item is longer than {MAX_ITEM_CHARS} characters; split it into passages")
     shared = block.sparkSession.sparkContext.broadcast((rows, rate))
     made: dict[int, Items] = {}
 

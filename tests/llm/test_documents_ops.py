@@ -293,6 +293,23 @@ def test_decontamination_edge_cases(spark, messy, empty, monkeypatch):
     assert decontam.contaminated(messy, items.limit(0)).count() == 0
 
 
+def test_items_of_any_length_are_found(spark, monkeypatch):
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(10_000))
+    assert len(long) > 50_000
+    near = long[:20_000] + "zz" + long[20_003:]
+    items = spark.createDataFrame([(1, long), (2, "Who wrote Hamlet?"), (3, "2+2=4"), (4, "東京の首都"), (5, "art is"), (6, "Seoul"), (7, "café noir")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + near + " after"), (2, "Quiz: who wrote  Hamlet, and when?"), (3, "so 2 + 2 = 4 holds, 12+2=4 does not"),
+                                  (4, "これは東京の首都です"), (5, "who wrote hamlets"), (6, "start is"), (7, "seoul"), (8, "in Seoul"), (9, "a café noire"),
+                                  (10, "12+2=4")], "doc_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 40_000)
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminated(docs, items).collect()}
+    assert 0 < got.pop((1, 1)) <= 3
+    assert got == {(2, 2): 0, (3, 3): 0, (4, 4): 0, (7, 6): 0}
+    assert sorted(r.doc_id for r in decontam.keep_uncontaminated(docs, items).collect()) == [5, 6, 8, 9, 10]
+
+
 # ------------------------------------------------------------- SentencePiece
 
 def test_paths_are_the_librarys_encoding(docs):
