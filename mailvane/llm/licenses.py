@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import KINDS, Rule, rules
+from .license_rules import KINDS, Rule, operands, rules
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -72,7 +72,7 @@ def scan(docs: DataFrame) -> DataFrame:
     (start, end, label, kind, confidence) what is left of all rules, words from 0,
     end inclusive.
     """
-    table = rules()
+    table = rules() + operands()
     gates = sorted({w for r in table for w in r.gate})
     firsts = {r.gate[0] for r in table}
     numbered = list(enumerate(table))

@@ -417,6 +417,36 @@ def test_licenses_match_brute_force(spark, docs, messy):
     assert len(license_rules.rules()) > 300
 
 
+HEADERS = [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions"),
+    ("bsd-3-clause", "Neither the name of the University nor the names of its contributors\nmay be used to endorse or promote products derived from this software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above"),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it"),
+    ("apache", "you may not use this file except in compliance with the License."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("agpl", "See the\n// GNU Affero General Public License for more details."),
+    ("mit,apache-2-0", "// SPDX-License-Identifier: (MIT OR Apache-2.0)"),
+    ("gpl-2-0,mit,zlib,bsd-3-clause", "SPDX-License-Identifier: GPL-2.0-or-later OR MIT AND (Zlib OR BSD-3-Clause)"),
+    ("apache-2-0,mit", "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR MIT"),
+    ("mit", "SPDX-License-Identifier: MIT\nYou may use Python or Ruby and Vim"),
+    ("", "It is MIT or Zlib. Permission granted to redistribute freely."),
+]
+
+
+def test_license_headers_without_a_title(spark):
+    for p in (q for patterns in license_rules.WORDING.values() for q in patterns):
+        assert license_rules._rare(p), p
+    df = spark.createDataFrame(list(enumerate(t for _, t in HEADERS)), "doc_id long, text string")
+    rows = licenses.report(licenses.scan(df)).collect()
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in rows}
+    for n, (want, text) in enumerate(HEADERS):
+        assert got[n] >= set(filter(None, want.split(","))), (text, got[n])
+    assert [len(got[n]) for n in (9, 10, 11, 12, 13)] == [2, 4, 2, 1, 0]
+    assert [tuple(r) for r in sorted(rows)[:9]] == [(n, *brute_licenses(t)) for n, (_, t) in enumerate(HEADERS[:9])]
+
+
 def test_licenses_empty(empty):
     assert licenses.report(licenses.scan(empty)).count() == 0
 
