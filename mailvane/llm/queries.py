@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licenses, qalsh, quality, simhash, token_scan, warc, wfst
+from . import chat, decontam, langid, licenses, negatives, qalsh, quality, repair, simhash, substring, token_scan, warc, wfst
 from .common import held_out, table, text_batches
 
 #: Folder of public tokenizer files, a parameter.
@@ -79,8 +79,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=10, low=30, high=90, scale=256)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_simhash, op3_langid, op4_sentencepiece, op5_warc_audit, op6_quality, op7_ann, op8_decontaminate,
-    op9_chat, op10_licenses)}
+    op9_chat, op10_licenses, op11_hard_negatives, op12_substring_dedup, op13_conversation_repair)}
 
-ORACLE_SQL: dict[str, str] = {"op5_warc_audit": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_audit": warc.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL, "op12_substring_dedup": substring.ORACLE_SQL,
+    "op13_conversation_repair": repair.ORACLE_SQL}
