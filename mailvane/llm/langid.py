@@ -1,8 +1,14 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One 4-gram model per language is counted over every learnable document,
-estimated with DataFrame aggregations and stored as sorted arrays of gram
-hashes. A text gets the language with the lowest cross-entropy per letter.
+estimated with DataFrame aggregations and stored as arrays sorted by the 64-bit
+code of a gram, which keeps all of its letters. A text gets the language with
+the lowest cross-entropy per letter.
+
+A model of up to MAX_BROADCAST entries is sent to the tasks whole. A larger one
+stays a table: blocks of documents ask for their distinct grams, the table,
+dealt by gram, answers, and each block scores its texts from the answers. Both
+ways give the same numbers; no entry is left out or merged.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and is rejected; languages tied on cross-entropy go to the first by name;
@@ -19,8 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .common import learnable, materialise, text_batches
@@ -28,9 +36,15 @@ from .common import learnable, materialise, text_batches
 ORDER = 4
 GAP, PAD = 0, 1
 #: Characters handled at a time; bounds memory whatever the length of a text.
-CHUNK = 1 << 20
-#: Bits of a gram's hash: no array of a model has more than 2**SLOT_BITS entries, however large the corpus.
-SLOT_BITS = 21
+CHUNK = 1 << 17
+#: Distinct grams that a counting task holds, and places of the table of grams met before.
+HELD, MET_BITS = 200_000, 18
+#: Entries of a model that is sent to the tasks (16 bytes each); a larger one is asked by blocks of documents.
+MAX_BROADCAST = 4_000_000
+#: Characters of a block of documents, and entries of the model for each range of grams, where blocks ask.
+BLOCK, RANGE = 1 << 24, 1 << 20
+#: Symbols of letters beyond U+FFFF: code units that no letter below has (surrogates and private use), taken in turn.
+FAR, FAR_SYMBOLS = 0xD800, 0xF900 - 0xD800
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 #: Letters from which a text's cross-entropy is held against the rejection threshold.
@@ -48,7 +62,7 @@ def _symbols(text: str) -> np.ndarray:
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = _letters()[np.minimum(cp, 0xFFFF)]
     if (far := cp > 0xFFFF).any():
-        out[far] = [0x8000 | (c & 0x7FFF) if chr(c).isalpha() else GAP for c in cp[far].tolist()]
+        out[far] = [FAR + c % FAR_SYMBOLS if chr(c).isalpha() else GAP for c in cp[far].tolist()]
     return out
 
 
@@ -93,7 +107,7 @@ def _has_letter(gram: np.ndarray) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, g, n) over the whole texts of ``docs`` (text, lang); a task sends each gram once per 2 million distinct ones."""
+    """(lang, g, n) over the whole texts of ``docs`` (text, lang); a task sends each gram once per HELD distinct ones."""
     def run(batches):
         seen: dict[str, list] = {}
 
@@ -109,7 +123,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         g, at = np.unique(np.concatenate([seen[lang][0], g]), return_inverse=True)
                         n = np.bincount(at, weights=np.concatenate([seen[lang][1], n])).astype(np.int64)
                     seen[lang] = [g, n.astype(np.int64)]
-            if sum(len(g) for g, _ in seen.values()) > 2_000_000:
+            if sum(len(g) for g, _ in seen.values()) > HELD:
                 yield from out()
                 seen = {}
         yield from out()
@@ -119,27 +133,22 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def slot(gram: np.ndarray) -> np.ndarray:
-    """Hash of a gram in SLOT_BITS bits."""
+def mixed(gram: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of grams."""
     g = gram.astype(np.uint64)
     g = (g ^ (g >> np.uint64(31))) * MIX
     g ^= g >> np.uint64(29)
-    return ((g * MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+    return g * MIX
 
 
 def estimate(counts: DataFrame) -> DataFrame:
-    """(lang, kind, slot, logp): interpolated Kneser-Ney of each order as logarithms.
+    """(lang, kind, g, logp): interpolated Kneser-Ney of each order as logarithms.
 
     Kind k holds the probability of the seen k-grams, kind -k the weight that a
     context of a k-gram leaves to the order below; kind 0 an unseen letter. The
     highest order uses counts, lower ones the number of different letters
     before a gram. The absolute discount of an order is n1 / (n1 + 2 n2).
-    Grams with one hash share the larger probability.
     """
-    @pandas_udf("long")
-    def slot_of(g: pd.Series) -> pd.Series:
-        return pd.Series(slot(g.to_numpy(np.int64).view(np.uint64)).astype(np.int64))
-
     def low_bits(k: int) -> int:
         return (1 << (16 * k)) - 1
 
@@ -169,26 +178,38 @@ def estimate(counts: DataFrame) -> DataFrame:
     model = parts[0]
     for p in parts[1:]:
         model = model.unionByName(p)
-    model = materialise(model, "kn-model")
-    return (model.select("lang", "kind", slot_of("g").alias("slot"), "p").groupBy("lang", "kind", "slot")
-            .agg(F.log(F.max("p")).alias("logp")))
+    # an unseen letter has one probability, whatever stands before it
+    return materialise(model.select("lang", "kind", F.when(F.col("kind") == 0, 0).otherwise(F.col("g")).alias("g"), F.log("p").alias("logp")), "kn-model")
+
+
+_NO_KEYS, _NO_VALUES = np.zeros(0, dtype=np.uint64), np.zeros(0)
 
 
 class Models:
-    """Per language and kind, a sorted array of gram hashes and their logarithms."""
+    """Per language and kind, a sorted array of grams and their logarithms."""
 
     def __init__(self, rows: pd.DataFrame):
-        self._keys = self._values = None
-        self.langs = sorted(rows["lang"].unique().tolist())
-        rows = rows.sort_values(["lang", "kind", "slot"])
-        self.tables = {(lang, kind): (part["slot"].to_numpy(np.uint32), part["logp"].to_numpy(np.float64))
-                       for (lang, kind), part in rows.groupby(["lang", "kind"])}
+        rows = rows.assign(g=rows["g"].to_numpy(np.int64).view(np.uint64)).sort_values(["lang", "kind", "g"])
+        self._set(sorted(rows["lang"].unique().tolist()),
+                  {(lang, int(kind)): (part["g"].to_numpy(np.uint64), part["logp"].to_numpy(np.float64))
+                   for (lang, kind), part in rows.groupby(["lang", "kind"])})
+
+    @classmethod
+    def of(cls, langs: list[str], tables: dict) -> Models:
+        """Models from their sorted arrays by (language, kind)."""
+        out = cls.__new__(cls)
+        out._set(langs, tables)
+        return out
+
+    def _set(self, langs, tables):
+        self.langs, self.tables, self._keys, self._values = langs, tables, None, None
 
     def _find(self, lang: str, kind: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.tables.get((lang, kind), (np.zeros(1, np.uint32), np.zeros(1)))
-        q = slot(gram) if kind else np.zeros(gram.size, np.uint32)
-        at = np.minimum(np.searchsorted(keys, q), keys.size - 1)
-        return keys[at] == q, values[at]
+        keys, values = self.tables.get((lang, kind), (_NO_KEYS, _NO_VALUES))
+        at = np.minimum(np.searchsorted(keys, gram), max(keys.size - 1, 0))
+        if not keys.size:
+            return np.zeros(gram.size, dtype=bool), np.zeros(gram.size)
+        return keys[at] == gram, values[at]
 
     def logp(self, lang: str, gram: np.ndarray, k: int = ORDER) -> np.ndarray:
         """log P(last symbol | the symbols before), by the longest seen gram and the weights left to it."""
@@ -205,16 +226,17 @@ class Models:
         return out
 
     def scores(self, gram: np.ndarray) -> np.ndarray:
-        """log P of each gram (rows) in each language (columns); grams met before come from a table of 2**SLOT_BITS places."""
+        """log P of each gram (rows) in each language (columns); grams met before come from a table of 2**MET_BITS places."""
         if self._keys is None:
-            self._keys = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
-            self._values = np.zeros((1 << SLOT_BITS, len(self.langs)), dtype=np.float32)
-        at = slot(gram)
+            self._keys = np.zeros(1 << MET_BITS, dtype=np.uint64)
+            self._values = np.zeros((1 << MET_BITS, len(self.langs)), dtype=np.float32)
+        shift = np.uint64(64 - MET_BITS)
+        at = (mixed(gram) >> shift).astype(np.int64)
         new = self._keys[at] != gram
         if not new.any():
             return self._values[at]
         uniq = np.unique(gram[new])
-        places, first = np.unique(slot(uniq), return_index=True)
+        places, first = np.unique((mixed(uniq) >> shift).astype(np.int64), return_index=True)
         self._keys[places] = uniq[first]
         self._values[places] = self._direct(uniq[first])
         out = self._values[at]
@@ -261,17 +283,25 @@ def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 class LanguageId:
-    """A learned identifier: models, calibration of the score and rejection thresholds."""
+    """A learned identifier: models, calibration of the score and rejection thresholds.
+
+    ``models`` holds all entries, or (with ``table``, the entries as written) only what is the same for every gram.
+    """
 
-    def __init__(self, models: Models):
-        self.models, self.slope, self.offset, self.limits = models, 1.0, 0.0, {}
+    def __init__(self, models: Models, table: DataFrame | None = None, entries: int = 0):
+        self.models, self.table, self.entries = models, table, entries
+        self.slope, self.offset, self.limits = 1.0, 0.0, {}
 
-    def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        langs = self.models.langs
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def predict(self, texts: list[str | None], models: Models | None = None) -> pd.DataFrame:
+        models = models or self.models
+        langs = models.langs
         if not langs:
             return pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "entropy": np.nan, "letters": 0, "evidence": 0.0, "rejected": True},
                                 index=range(len(texts)))
-        letters, h = self.models.entropies(texts)
+        letters, h = models.entropies(texts)
         best = h.argmin(axis=1)
         evidence = _evidence(letters, h)
         none = letters == 0
@@ -286,33 +316,137 @@ class LanguageId:
 SCHEMA = "lang_pred string, score double, entropy double, letters long, evidence double, rejected boolean"
 
 
-def predictor(spark, learned: LanguageId):
-    """A column function text -> struct of SCHEMA. The broadcast model has at most 2**SLOT_BITS entries per language and kind."""
-    shared = spark.sparkContext.broadcast(learned)
+def predicted(docs: DataFrame, learned: LanguageId) -> DataFrame:
+    """(row: the whole row, p: struct of SCHEMA) of every row of ``docs`` (text)."""
+    text_batches(docs)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    if learned.table is not None:
+        return _asked(rows, learned)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     @pandas_udf(SCHEMA)
     def f(text: pd.Series) -> pd.DataFrame:
         return shared.value.predict(text.tolist())
 
-    return f
+    return rows.select("row", f("text").alias("p"))
 
 
-def learn(docs: DataFrame) -> LanguageId:
+def _keys_of(gram: np.ndarray) -> dict[int, np.ndarray]:
+    """Every entry by kind that the probability of these grams may need."""
+    out = {}
+    for k in range(ORDER, 0, -1):
+        out[k] = np.unique(gram & np.uint64((1 << (16 * k)) - 1))
+        if k > 1:
+            out[-k] = np.unique(out[k] >> np.uint64(16))
+    return out
+
+
+def _asked(rows: DataFrame, learned: LanguageId) -> DataFrame:
+    """Predictions from a model that is a table: each block of texts asks for its distinct grams.
+
+    Rows are written once, numbered by block and place. An answer holds the
+    entries of one block in one range of grams, so no task holds the model.
+    """
+    langs, constants = learned.models.langs, learned.models.tables
+
+    def number(batches):
+        block, place, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            blocks, places = [], []
+            for n in batch["text"].str.len().fillna(0).astype(int).tolist():
+                if size and size + n > BLOCK:
+                    block, place, size = block + 1, 0, 0
+                blocks.append(block)
+                places.append(place)
+                place, size = place + 1, size + n + 1
+            yield batch.assign(block=blocks, place=places)
+
+    schema = T.StructType(rows.select("row", "text").schema.fields + [T.StructField("block", T.LongType()), T.StructField("place", T.LongType())])
+    kept = materialise(rows.mapInPandas(number, schema), "langid-rows")
+    texts = kept.select("block", "place", "text")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = 1 + max(learned.entries, chars // 8) // RANGE
+
+    @pandas_udf("long")
+    def range_of(g: pd.Series) -> pd.Series:
+        return pd.Series(_range(g.to_numpy(np.int64).view(np.uint64), ranges))
+
+    def ask(key, batch):
+        seen = _NO_KEYS
+        for _, gram in grams([t or "" for t in batch["text"]]):
+            seen = np.unique(np.concatenate([seen, gram]))
+        out = []
+        for kind, keys in _keys_of(seen).items():
+            which = _range(keys, ranges)
+            out += [(int(r), int(key[0]), kind, keys[which == r].tobytes()) for r in np.unique(which)]
+        return pd.DataFrame(out, columns=["part", "block", "kind", "keys"])
+
+    def answer(model, asks):
+        if not len(asks):
+            return pd.DataFrame({"block": [], "kind": [], "keys": [], "values": []}).astype({"block": "int64", "kind": "int32"})
+        places = {lang: i for i, lang in enumerate(langs)}
+        held = {}
+        for kind, part in model.groupby("kind"):
+            keys, at = np.unique(part["g"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+            values = np.full((keys.size, len(langs)), np.nan)
+            values[at, part["lang"].map(places).to_numpy()] = part["logp"].to_numpy()
+            held[kind] = keys, values
+        out = []
+        for block, kind, keys in zip(asks["block"], asks["kind"], asks["keys"]):
+            if kind in held:
+                wanted, (known, values) = np.frombuffer(keys, dtype=np.uint64), held[kind]
+                at = np.minimum(np.searchsorted(known, wanted), known.size - 1)
+                hit = known[at] == wanted
+                out.append((block, kind, wanted[hit].tobytes(), values[at[hit]].tobytes()))
+        return pd.DataFrame(out, columns=["block", "kind", "keys", "values"])
+
+    def score(batch, answers):
+        tables = dict(constants)
+        for kind, part in answers.groupby("kind"):
+            keys = np.frombuffer(b"".join(part["keys"]), dtype=np.uint64)
+            values = np.frombuffer(b"".join(part["values"]), dtype=np.float64).reshape(-1, len(langs))
+            order = np.argsort(keys)
+            for i, lang in enumerate(langs):
+                seen = order[~np.isnan(values[order, i])]
+                tables[lang, int(kind)] = keys[seen], values[seen, i]
+        found = learned.predict(batch["text"].tolist(), Models.of(langs, tables))
+        return found.assign(block=batch["block"].to_numpy(), place=batch["place"].to_numpy())
+
+    model = learned.table.filter("kind <> 0").select("lang", "kind", "g", "logp", range_of("g").alias("part"))
+    asks = texts.groupBy("block").applyInPandas(ask, "part long, block long, kind int, keys binary")
+    answers = model.groupBy("part").cogroup(asks.groupBy("part")).applyInPandas(answer, "block long, kind int, keys binary, values binary")
+    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"{SCHEMA}, block long, place long")
+    names = [f.name for f in T.StructType.fromDDL(SCHEMA)]
+    return kept.select("row", "block", "place").join(found.select("block", "place", F.struct(*names).alias("p")), ["block", "place"]).select("row", "p")
+
+
+def _range(gram: np.ndarray, ranges: int) -> np.ndarray:
+    return ((mixed(gram) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> LanguageId:
     """Learn from the learnable documents of ``docs`` (doc_id, text, lang).
 
-    Seven eighths of them (by crc32 of the id) are counted, all of their text.
-    The last eighth calibrates: a logistic curve from evidence to the share of
-    right answers, and per language a threshold as far above the 99.9th
-    percentile of cross-entropy as that is above the median.
+    Seven eighths of them (by crc32 of the id) are counted, all of their text,
+    and all of a language that has documents in the last eighth only. That
+    eighth calibrates: a logistic curve from evidence to the share of right
+    answers, and per language a threshold as far above the 99.9th percentile of
+    cross-entropy as that is above the median.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang").filter(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     spare = (F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5).cast("long") % 8 == 0
-    counts = materialise(count_grams(rows.filter(~spare)), "grams")
-    learned = LanguageId(Models(estimate(counts).toPandas()))
+    taught = rows.groupBy("lang").agg(F.bool_and(spare).alias("only_spare"))
+    rows = rows.join(taught, "lang")
+    counts = materialise(count_grams(rows.filter(~spare | F.col("only_spare"))), "grams")
+    table = estimate(counts)
+    entries = table.count()
+    if entries <= max_broadcast:
+        learned = LanguageId(Models(table.toPandas()))
+    else:  # one constant a language comes to the driver
+        learned = LanguageId(Models(table.filter("kind = 0").distinct().toPandas()), table, entries)
     if not learned.models.langs:
         return learned
-    told = rows.filter(spare).select("lang", predictor(spark, learned)("text").alias("p")).select("lang", "p.*").filter("letters > 0")
+    told = predicted(rows.filter(spare).select("lang", "text"), learned).select("row.lang", "p.*").filter("letters > 0")
     told = materialise(told, "calibration")
     right = F.col("lang") == F.col("lang_pred")
     bins = told.groupBy(F.round(F.col("evidence") * 4).alias("b")).agg(F.count_if(right).alias("r"), F.count_if(~right).alias("w"))
@@ -325,13 +459,9 @@ def learn(docs: DataFrame) -> LanguageId:
 
 def identify(docs: DataFrame, learned: LanguageId) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, letters, evidence, rejected) of every row."""
-    text_batches(docs)
-    p = predictor(docs.sparkSession, learned)
-    return docs.select("doc_id", p("text").alias("_p")).select("doc_id", "_p.*")
+    return predicted(docs.select("doc_id", "text"), learned).select("row.doc_id", "p.*")
 
 
 def keep_identified(docs: DataFrame, learned: LanguageId) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, all columns unchanged."""
-    text_batches(docs)
-    p = predictor(docs.sparkSession, learned)
-    return docs.select(F.struct("*").alias("_row"), p("text").alias("_p")).filter(~F.col("_p.rejected")).select("_row.*")
+    return predicted(docs, learned).filter(~F.col("p.rejected")).select("row.*")

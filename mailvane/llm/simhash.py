@@ -146,12 +146,8 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
-
-    Copies collapse to one fingerprint before any search; links and components
-    work on distinct fingerprints only.
-    """
+def _rooted(docs: DataFrame, width: int, max_bits: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row of ``docs``; ``root`` is the group's smallest fingerprint."""
     text_batches(docs)
     fps = materialise(docs.select("doc_id", fingerprint(F.col("text"), width).alias("fp")), "simhash")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-nodes")
@@ -159,25 +155,43 @@ def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFr
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
+
+    Copies collapse to one fingerprint before any search; links and components
+    work on distinct fingerprints only.
+    """
+    return _rooted(docs, width, max_bits).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, that of the smallest id.
+    """The rows of ``docs`` that stay: one row of each group, of the smallest id in it.
 
-    Repeated rows of that id count as one document. Documents without an id
+    Where an id stands on rows with different texts, the texts are grouped like
+    any others: each group keeps a row of its own. Documents without an id
     cannot be told apart by one: of a group of them alone, one row stays. All
     columns of ``docs`` come back unchanged.
     """
-    groups = simhash_groups(docs, width, max_bits)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id", "fp").distinct()
-    kept = kept.groupBy("doc_id").agg(F.min("fp").alias("_kept_fp")).withColumnRenamed("doc_id", "_kept_id")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    named = rows.filter("_id is not null").join(kept, F.col("_id") == F.col("_kept_id"))
-    named = named.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
+    groups = materialise(_rooted(docs, width, max_bits), "simhash-groups")
+    kept = (groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("root")
+            .agg(F.min("doc_id").alias("_kept_id"), F.min("fp").alias("_kept_fp")).drop("root"))
+    several = (groups.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+               .filter("a <> b").select(F.col("doc_id").alias("_kept_id")))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")).filter("_id is not null")
+
+    def one(of: DataFrame, *by: str) -> DataFrame:
+        return of.groupBy(*by).agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
+
+    same = F.col("_id") == F.col("_kept_id")
+    single = one(rows.join(kept.join(several, "_kept_id", "left_anti"), same), "_id")
+    # only the few rows whose id has several texts need their fingerprint again
+    told = rows.join(several, same, "left_semi").withColumn("_fp", fingerprint(F.col("_text"), width))
+    mixed = one(told.join(kept, same & (F.col("_fp") == F.col("_kept_fp"))), "_id", "_fp")
     text_batches(docs)
-    nameless = (docs.filter("doc_id is null").select(F.struct("*").alias("_row"), fingerprint(F.col("text"), width).alias("_fp"))
-                .join(groups.filter("component_id is null").select(F.col("fp").alias("_fp")).distinct(), "_fp", "left_semi")
-                .groupBy("_fp").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*"))
-    return named.unionByName(nameless)
+    nameless = one(docs.filter("doc_id is null").select(F.struct("*").alias("_row"), fingerprint(F.col("text"), width).alias("_fp"))
+                   .join(groups.filter("component_id is null").select("fp", "root").distinct(), F.col("_fp") == F.col("fp")), "root")
+    return single.unionByName(mixed).unionByName(nameless)

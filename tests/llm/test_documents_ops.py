@@ -127,6 +127,13 @@ def test_simhash_edge_cases(messy, empty):
     assert simhash.simhash_groups(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_an_id_on_two_texts_keeps_a_row_of_each_group(spark):
+    a, b, c = ("one text of its own with some words", "quite another thing that nobody wrote before now", "the third of these, unlike both")
+    rows = [(5, a), (5, b), (3, b), (7, a), (6, c), (6, c), (6, a), (None, "x y z w"), (None, "x y z w")]
+    kept = simhash.keep_one(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _kept_fp int"))
+    assert sorted(map(repr, (tuple(r)[:2] for r in kept.collect()))) == sorted(map(repr, [(5, a), (3, b), (6, c), (None, "x y z w")]))
+
+
 # --------------------------------------------------------------- language id
 
 def test_grams_do_not_depend_on_chunks(monkeypatch):
@@ -194,6 +201,49 @@ def test_language_edge_cases(messy, empty):
     assert {r.lang_pred for r in langid.identify(messy, nothing).collect()} == {"und"}
 
 
+def test_a_model_kept_as_a_table_answers_alike(spark, docs, messy, empty, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 20_000)
+    monkeypatch.setattr(langid, "RANGE", 9_000)
+    whole, asked = langid.learn(docs), langid.learn(docs, max_broadcast=0)
+    assert asked.table is not None and whole.table is None and asked.limits == pytest.approx(whole.limits)
+    for df in (docs, messy, empty):
+        a, b = ([tuple(r) for r in langid.identify(df, x).orderBy(*["doc_id", "letters"]).collect()] for x in (whole, asked))
+        assert len(a) == len(b) and all(x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=1e-5, nan_ok=True) for x, y in zip(a, b))
+    kept = langid.keep_identified(messy, asked)
+    assert kept.columns == messy.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, langid.keep_identified(messy, whole).collect()))
+
+
+def test_no_two_grams_share_an_entry(spark):
+    """Many more distinct grams than any hash table of a fixed size would tell apart at this rate."""
+    import numpy as np
+
+    rng = random.Random(0)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(6000))
+    rows = langid.estimate(langid.count_grams(spark.createDataFrame([("zh", text)], "lang string, text string"))).toPandas()
+    assert not rows.duplicated(["lang", "kind", "g"]).any() or rows[rows.kind != 0].duplicated(["lang", "kind", "g"]).sum() == 0
+    model = langid.Models(rows)
+    seen, logp = brute_kn(text)
+    some = np.array(sorted(seen)[:300], dtype=np.uint64)
+    other = some ^ np.uint64(0x11)
+    assert model.logp("zh", some) == pytest.approx([logp(int(g)) for g in some], abs=1e-9)
+    unseen = np.array([g for g in other if int(g) not in seen], dtype=np.uint64)
+    assert model.logp("zh", unseen) == pytest.approx([logp(int(g)) for g in unseen], abs=1e-9)
+
+
+def test_letters_beyond_the_basic_plane_have_symbols_of_their_own():
+    assert {int(x) for x in langid._symbols("\U00020000\u8000\U0001F600")} == {langid.FAR + 0x20000 % langid.FAR_SYMBOLS, 0x8000, langid.GAP}
+
+
+def test_a_language_only_in_the_calibration_part_is_learned(spark):
+    import zlib
+
+    only = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) // 5 % 8 == 0)
+    rest = [i for i in range(60) if i != only]
+    rows = [(i, "the cat sat on the mat", "en") for i in rest] + [(only, "der Hund lief über die Straße", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(df, langid.learn(df)).filter(F.col("doc_id") == only).collect()} == {"de"}
+
+
 # ------------------------------------------------------------------- quality
 
 def test_rules_are_the_paths_of_printed_trees():
