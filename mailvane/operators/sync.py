@@ -124,7 +124,7 @@ def build_worklist(listing: DataFrame, messages: DataFrame, decisions: DataFrame
     ``checkpoint`` marks the uids that may move the checkpoint.
     """
     d = decisions.select("folder", "first_load", "eff_last_uid", "needs_backfill", "reset")
-    listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid").join(d, "folder")
+    listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid").distinct().join(d, "folder")
     w_desc = Window.partitionBy("folder").orderBy(F.col("uid").desc())
     w_asc = Window.partitionBy("folder").orderBy(F.col("uid").asc())
     recent = (listed.withColumn("r", F.row_number().over(w_desc))
@@ -155,14 +155,22 @@ def build_worklist(listing: DataFrame, messages: DataFrame, decisions: DataFrame
     return out
 
 
+def _one_per_key(source: DataFrame) -> DataFrame:
+    """One row per (folder, uid): a fetched one before a failed one, then by a hash of the row."""
+    order = F.struct((~F.coalesce("ok", F.lit(False))).alias("failed"), F.xxhash64(*[c for c in source.columns if c != "ok"]).alias("h"))
+    return source.groupBy("folder", "uid").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
+
+
 def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: DataFrame,
          opts: SyncOptions = SyncOptions(), run_ts: Column | str | None = None,
          materialize: bool = True) -> SyncResult:
     """Synchronise the index of every listed folder in one pass.
 
     ``listing(folder, uid, uidvalidity, listing_ok)``: what each folder
-    listing returned (a listed, empty folder is one row with uid NULL).
-    ``source``: the fetchable messages with ``ok`` (fetch succeeded).
+    listing returned (a listed, empty folder is one row with uid NULL; a uid
+    listed more than once counts once).
+    ``source``: the fetchable messages with ``ok`` (fetch succeeded); of
+    several rows of a message one that succeeded is taken.
     ``messages`` / ``state``: the current index table and folder_state.
 
     Order of effects matches the original: reset, upsert, checkpoint,
@@ -191,7 +199,7 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
                         "truncated", ok.alias("ok"), F.lit(True).alias("found"))
     # semi-join first: only work-list rows leave the mailbox scan (the small key side can be
     # broadcast); the left join that marks missing uids then runs between two small sides
-    src = src.join(work.select("folder", "uid"), ["folder", "uid"], "left_semi")
+    src = _one_per_key(src.join(work.select("folder", "uid"), ["folder", "uid"], "left_semi"))
     fetched = (work.join(src, ["folder", "uid"], "left")
                .withColumn("ok", F.coalesce(F.col("found"), F.lit(False)) & F.coalesce(F.col("ok"), F.lit(False))))
     if materialize:
@@ -225,7 +233,7 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     # soft delete: active rows missing from a successful full listing
     # Only folders due for a full check meet the listing; every other row passes through untouched,
     # so a run with few checked folders never joins the whole index with the whole listing.
-    listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid", F.lit(True).alias("listed"))
+    listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid", F.lit(True).alias("listed")).distinct()
     checked = d.filter("did_full_check").select("folder")
     in_check = (upserted.join(checked, "folder", "left_semi")
                 .join(listed.join(checked, "folder", "left_semi"), ["folder", "uid"], "left")

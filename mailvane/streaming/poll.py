@@ -63,26 +63,30 @@ def gate_new(batch: DataFrame, positions: DataFrame) -> DataFrame:
 
     ``batch`` has ``folder, uid, uidvalidity``; ``positions(folder,
     uidvalidity, last_uid)`` has one row per folder read so far. A folder
-    resumes only where both epochs are known and equal. Inside a batch only
-    rows of the folder's highest epoch count; a row of unknown epoch counts as
-    one of that epoch.
+    resumes only where both epochs are known and equal; rows of an epoch below
+    the known one are late and do not pass. Inside a batch only rows of the
+    folder's highest epoch count; a row of unknown epoch counts as one of that
+    epoch.
     """
     known = positions.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"), "last_uid")
     start = folder_epochs(batch).join(known, F.col("_folder").eqNullSafe(F.col("_f")), "left").select(
-        "_folder", "_epoch", F.when(F.col("_known") == F.col("_epoch"), F.col("last_uid")).alias("_after"))
-    return (_of_epoch(batch, start).filter(F.col("_after").isNull() | (F.col("uid") > F.col("_after")))
+        "_folder", "_epoch", F.when(F.col("_known") == F.col("_epoch"), F.col("last_uid")).alias("_after"),
+        F.coalesce(F.col("_epoch") < F.col("_known"), F.lit(False)).alias("_late"))
+    return (_of_epoch(batch, start).filter(~F.col("_late") & (F.col("_after").isNull() | (F.col("uid") > F.col("_after"))))
             .select(*batch.columns))
 
 
 def advance(positions: DataFrame, batch: DataFrame, passed: DataFrame) -> DataFrame:
-    """Positions after the rows ``passed`` of ``batch`` were read."""
+    """Positions after the rows ``passed`` of ``batch`` were read; a late epoch changes nothing."""
+    late = F.coalesce(F.col("_epoch") < F.col("_known"), F.lit(False))
     top = passed.groupBy(F.col("folder").alias("_p")).agg(F.max("uid").alias("_top"))
     known = positions.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"), "last_uid")
     epochs = folder_epochs(batch)
     seen = (epochs.join(known, F.col("_folder").eqNullSafe(F.col("_f")), "left")
             .join(top, F.col("_folder").eqNullSafe(F.col("_p")), "left")
-            .select(F.col("_folder").alias("folder"), F.col("_epoch").alias("uidvalidity"),
-                    F.greatest("_top", F.when(F.col("_known").eqNullSafe(F.col("_epoch")), F.col("last_uid")))
+            .select(F.col("_folder").alias("folder"),
+                    F.when(late, F.col("_known")).otherwise(F.col("_epoch")).alias("uidvalidity"),
+                    F.greatest("_top", F.when(late | F.col("_known").eqNullSafe(F.col("_epoch")), F.col("last_uid")))
                     .alias("last_uid")))
     return positions.join(epochs, F.col("folder").eqNullSafe(F.col("_folder")), "left_anti").unionByName(seen)
 
@@ -156,9 +160,11 @@ def upsert_batches(stream: DataFrame, store: MailStore, checkpoint_location: str
     ``stream`` has the message columns and those of ``order_by``, by which the
     last write per ``(folder, uid)`` of a batch wins (nulls first); equal ones
     go by a hash of the row without ``synced_at``, so a replay chooses the same
-    row. A folder whose epoch changed is reset. A run writes what the batch
-    changes; with ``compact_at``, that many runs are rewritten as one. A
-    replayed batch replaces its own rows. Returns ``store``.
+    row. A folder whose epoch rose is reset; rows of an epoch below the known
+    one are late and change nothing, and so does a write that by those of the
+    ``order_by`` columns which the store holds is older than the stored one. A
+    run writes what the batch changes; with ``compact_at``, that many runs are
+    rewritten as one. A replayed batch replaces its own rows. Returns ``store``.
     """
     spark = stream.sparkSession
     ck = checkpoint_location or scratch_path(spark, "upsert-ckpt")
@@ -166,11 +172,19 @@ def upsert_batches(stream: DataFrame, store: MailStore, checkpoint_location: str
 
     def apply(batch: DataFrame, n: int) -> None:
         state = store.state()
+        current = state.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"))
+        older = F.col("folder").eqNullSafe(F.col("_f")) & (F.col("uidvalidity") < F.col("_known"))
+        batch = batch.join(current, older, "left_anti")
         epochs = folder_epochs(batch)
         tie = F.xxhash64(*[c for c in MESSAGE_COLS if c != "synced_at"])
         last = Window.partitionBy("folder", "uid").orderBy(*[F.col(c).desc_nulls_last() for c in order_by], tie)
-        changed = (_of_epoch(batch, epochs).withColumn("_r", F.row_number().over(last)).filter("_r = 1")
-                   .select(*MESSAGE_COLS, F.lit(True).alias("fresh")).checkpoint(eager=True))
+        newest = _of_epoch(batch, epochs).withColumn("_r", F.row_number().over(last)).filter("_r = 1")
+        kept = [c for c in order_by if c in MESSAGE_COLS]
+        if kept:
+            stored = store.messages().select(F.col("folder").alias("_f"), F.col("uid").alias("_u"), F.struct(*kept).alias("_stored"))
+            newer = (F.col("folder").eqNullSafe(F.col("_f")) & F.col("uid").eqNullSafe(F.col("_u")) & (F.col("_stored") > F.struct(*kept)))
+            newest = newest.join(stored, newer, "left_anti")
+        changed = newest.select(*MESSAGE_COLS, F.lit(True).alias("fresh")).checkpoint(eager=True)
         known = state.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"), "last_uid",
                              "last_full_check_at", F.lit(True).alias("_has"))
         top = changed.groupBy(F.col("folder").alias("_p")).agg(F.max("uid").alias("_top"))

@@ -118,3 +118,36 @@ def test_tables_of_part_files_are_streamed_whole(spark, tmp_dir):
     for name in ("stream_read_new", "stream_resume", "stream_sync", "stream_postings"):
         whole, parts = (sorted(map(str, catalog.queries()[name](spark, d).collect())) for d in (SF_SMALL, tmp_dir))
         assert whole and parts == whole, name
+
+
+def test_late_epochs_and_older_writes_change_nothing(spark, tmp_dir):
+    landing, ck = os.path.join(tmp_dir, "landing4"), scratch_path(spark, "late")
+    schema = spark.createDataFrame([], SCHEMA + ", at timestamp").schema
+    store = MailStore(spark, os.path.join(tmp_dir, "late-store"))
+
+    def poll_once(name, rows):
+        spark.createDataFrame([(*r[:4], None) for r in rows], schema).withColumn("at", F.lit(rows[0][4]).cast("timestamp")).coalesce(1).write.parquet(f"{landing}/{name}")
+        s = poll.message_stream(spark, landing + "/*", schema, max_files_per_trigger=1)
+        poll.upsert_batches(as_messages(s.withColumnRenamed("at", "arrived")).withColumn("synced_at", F.lit(rows[0][4]).cast("timestamp")), store, ck)
+        state = {tuple(r) for r in store.state().select("folder", "uidvalidity", "last_uid").collect()}
+        return {r["uid"]: r["subject"] for r in store.messages().collect()}, state
+
+    now = {1: "a", 2: "b", 3: "c"}
+    assert poll_once("b1", [("INBOX", u, 778, s, "2026-06-01 10:00:00") for u, s in now.items()]) == (now, {("INBOX", 778, 3)})
+    assert poll_once("b2", [("INBOX", 9, 777, "late", "2026-06-01 11:00:00")]) == (now, {("INBOX", 778, 3)})
+    # a write with an older time than the stored one arrives in a later batch
+    assert poll_once("b3", [("INBOX", 2, 778, "older", "2026-06-01 09:00:00")]) == (now, {("INBOX", 778, 3)})
+    assert poll_once("b4", [("INBOX", 2, 778, "newer", "2026-06-01 12:00:00")]) == (now | {2: "newer"}, {("INBOX", 778, 3)})
+
+
+def test_a_late_epoch_passes_no_gate(spark, tmp_dir):
+    at = spark.createDataFrame([("A", 778, 3)], POSITIONS)
+    late = spark.createDataFrame([("A", 9, 777, "")], SCHEMA)
+    passed = poll.gate_new(late, at)
+    assert passed.count() == 0 and [tuple(r) for r in poll.advance(at, late, passed).collect()] == [("A", 778, 3)]
+    landing, out = os.path.join(tmp_dir, "landing5"), os.path.join(tmp_dir, "out5")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for i, rows in enumerate(([("A", 1, 778, "")], [("A", 7, 777, "")], [("A", 1, 778, ""), ("A", 2, 778, "")])):
+        land(spark, landing, rows, f"b{i}")
+        got = keys(spark.read.parquet(poll.run_to_table(poll.message_stream(spark, landing + "/*", schema), out)))
+    assert got == [("A", 1), ("A", 2)]

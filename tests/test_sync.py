@@ -158,3 +158,14 @@ def test_many_folders_in_one_pass(spark):
     got = {x["folder"]: x["last_uid"] for x in r.state.collect()}
     assert got == {"INBOX": 2, "Sent": 7}
     assert uids(r.worklist.filter("folder = 'Sent'")) == [6, 7]
+
+
+def test_repeated_listing_and_source_rows_count_once(spark):
+    listed = listing(spark, [1, 2, 2, 2])
+    src = source(spark, [1, 2, 2], subjects={2: "twice"}).unionByName(source(spark, [2], failing=[2]))
+    r = sync(listed, src, empty_messages(spark), empty_state(spark), opts(initial_limit=2), RUN)
+    assert uids(r.worklist) == uids(r.messages) == uids(r.changed) == [1, 2]
+    assert r.metrics.first()["indexed_count"] == 2
+    again = sync(listing(spark, [1, 1, 3, 3]), source(spark, [3, 3]), r.messages, r.state, opts(full_check=True), RUN)
+    assert sorted((x["uid"], x["is_deleted"]) for x in again.messages.collect()) == [(1, False), (2, True), (3, False)]
+    assert again.metrics.first()["deleted_count"] == 1
