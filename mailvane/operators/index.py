@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms
@@ -22,8 +22,6 @@ BM25_B = 0.75
 IDF_FLOOR = 1e-6
 # --- end fixed values ---
 
-TERM_BUCKETS = 64
-
 
 @dataclass(frozen=True)
 class MailIndex:
@@ -86,6 +84,11 @@ def _occurrences(toks: DataFrame) -> DataFrame:
     ).select("o.term", "folder", "uid", "o.col", "o.pos")
 
 
+def tagged_terms(messages: DataFrame) -> DataFrame:
+    """``term, folder, uid, col, pos`` of every term occurrence (``col`` 0: subject, 1: body)."""
+    return _occurrences(_tokens(messages))
+
+
 def build_postings(messages: DataFrame, with_positions: bool = True) -> DataFrame:
     """Postings of ``messages(folder, uid, subject, body)``."""
     occ = _occurrences(_tokens(messages))
@@ -124,29 +127,3 @@ def refresh_index(index: MailIndex, touched: DataFrame, removed_folders: DataFra
     return MailIndex(post.unionByName(fresh.postings), lens.unionByName(fresh.doc_len),
                      None if with_positions else messages)
 
-
-def write_index(index: MailIndex, path: str) -> str:
-    """Persist the index.
-
-    Postings are partitioned by a hash bucket of the term and sorted by term
-    inside the files, so term filters skip row groups (min/max statistics)
-    and bucket filters skip folders. A rebalance before the write lets AQE
-    split a bucket made large by a hot term and merge small ones, so the
-    file count follows the data size rather than tasks x buckets.
-    """
-    (index.postings.withColumn("term_bucket", term_bucket(F.col("term")))
-     .hint("rebalance", "term_bucket")          # AQE: split hot buckets, merge small ones
-     .sortWithinPartitions("term_bucket", "term")
-     .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings"))
-    (index.doc_len.sortWithinPartitions("folder", "uid")
-     .write.mode("overwrite").parquet(f"{path}/doc_len"))
-    return path
-
-
-def read_index(spark: SparkSession, path: str, messages: DataFrame | None = None) -> MailIndex:
-    """A written index; ``messages`` serves phrase queries when no positions were stored."""
-    return MailIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_len"), messages)
-
-
-def term_bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")

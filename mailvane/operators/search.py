@@ -14,15 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.redact import redact, validate_patterns
-from ..functions.text import (ascii_lower, collapse_whitespace, fold_for_index, index_terms,
-                              query_tokens, shorten)
+from ..functions.text import ascii_lower, index_terms, query_tokens, shorten
 from ..session import checkpoint_dir
 from ..sources.tables import restrict_folders
 from .index import BM25_B, BM25_K1, IDF_FLOOR, MailIndex
 
-# Excerpt: so many words of the body, beginning so many before the first that holds a query term.
-EXCERPT_WORDS, EXCERPT_BEFORE = 18, 6
+# Excerpt: so many tokens of the body.
+EXCERPT_TOKENS = 18
 ELLIPSIS = "..."
+# A token as the index sees it (combining marks belong to their letter) and what stands between it and the next.
+TOKEN_PIECE_PATTERN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\u0300-\u036f]*[^\p{L}\p{N}\p{Co}]*"
+LEAD_PATTERN = r"^[^\p{L}\p{N}\p{Co}]*"
+GAP_PATTERN = r"[^\p{L}\p{N}\p{Co}\u0300-\u036f]+$"
 
 RESULT_COLUMNS = ("query_id", "folder", "uid", "subject", "sender", "date", "excerpt",
                   "score", "is_deleted", "body_index_blocked", "block_reason", "rank")
@@ -121,29 +124,63 @@ def bm25_scores(index: MailIndex, queries: DataFrame, stats: DataFrame | None =
             .select("query_id", "folder", "uid", "score"))
 
 
-def _rounded(c: Column, digits: int | None) -> Column:
+def rounded(c: Column, digits: int | None) -> Column:
     return c if digits is None else F.round(c, digits)
 
 
-def excerpt_column(body: Column, terms: Column) -> Column:
-    """EXCERPT_WORDS words of the body around the first that holds one of ``terms`` (F8).
+def best_cover(offsets: Column, n_terms: Column) -> Column:
+    """(first, last): the span of tokens with the most distinct terms that fit one excerpt.
 
-    Words are what blanks separate; a word holds a term if its folded form
-    contains it. Without such a word the excerpt begins with the body;
-    ``...`` marks a cut.
+    ``offsets`` are (pos, k) of the tokens that are term number k, in order.
+    The span ends at the first token at which that many terms stand within
+    EXCERPT_TOKENS, and begins at the last token from which they all do. One
+    pass keeps the last place of every term. Without a hit ``last`` is below 0.
     """
-    words = F.split(collapse_whitespace(F.coalesce(body, F.lit(""))), " ")
-    hit = F.transform(words, lambda w: F.exists(terms, lambda t: F.contains(fold_for_index(w), t)))
-    first = F.greatest(F.array_position(hit, True) - 1 - EXCERPT_BEFORE, F.lit(0)).cast("int")
-    more = F.size(words) > first + EXCERPT_WORDS
-    return F.concat(F.when(first > 0, ELLIPSIS).otherwise(""), F.array_join(F.slice(words, first + 1, EXCERPT_WORDS), " "),
-                    F.when(more, ELLIPSIS).otherwise(""))
+    never = -(1 << 30)
+    start = F.struct(F.transform(F.sequence(F.lit(0), F.greatest(n_terms, F.lit(1)) - 1), lambda _: F.lit(never)).alias("seen"),
+                     F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(-1).alias("last"))
 
+    def step(acc: Column, hit: Column) -> Column:
+        seen = F.transform(acc["seen"], lambda v, j: F.when(j == hit["k"], hit["pos"]).otherwise(v))
+        live = F.filter(seen, lambda v: v > hit["pos"] - EXCERPT_TOKENS)
+        more = F.size(live) > acc["n"]
+        return F.struct(seen.alias("seen"), F.when(more, F.size(live)).otherwise(acc["n"]).alias("n"),
+                        F.when(more, F.array_min(live)).otherwise(acc["first"]).alias("first"),
+                        F.when(more, hit["pos"]).otherwise(acc["last"]).alias("last"))
 
-def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
+    return F.aggregate(offsets, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+
+def _with_excerpt(rows: DataFrame) -> DataFrame:
+    """``excerpt`` of ``body`` around its ``terms`` (F8).
+
+    EXCERPT_TOKENS tokens that hold the span of ``best_cover`` in their middle
+    (of an odd rest one more behind it), moved inside the body. Tokens are whole
+    and punctuation between them stays; ``...`` marks a cut. Without a hit in
+    the body the excerpt is its beginning.
+    """
+    body = F.coalesce("body", F.lit(""))
+    pieces = F.regexp_extract_all(body, F.lit(TOKEN_PIECE_PATTERN), 0)
+    # folded piece by piece; a piece is its term but for what follows it
+    folded = F.transform("_pieces", lambda p: F.get(index_terms(p), F.lit(0)))
+    hits = F.filter(F.transform("_folded", lambda t, i: F.struct(i.cast("int").alias("pos"), (F.array_position("terms", t) - 1).cast("int").alias("k"))),
+                    lambda h: h["k"] >= 0)
+    rows = rows.withColumn("_pieces", pieces).withColumn("_folded", folded).withColumn("_span", best_cover(hits, F.size("terms")))
+    size = F.size("_pieces")
+    first = F.col("_span.first") - F.floor((EXCERPT_TOKENS - (F.col("_span.last") - F.col("_span.first") + 1)) / 2).cast("int")
+    first = F.when(F.col("_span.last") < 0, 0).otherwise(F.greatest(F.least(first, size - EXCERPT_TOKENS), F.lit(0)))
+    rows = rows.withColumn("_first", first.cast("int"))
+    cut_before, cut_after = F.col("_first") > 0, F.col("_first") + EXCERPT_TOKENS < size
+    text = F.array_join(F.slice("_pieces", F.col("_first") + 1, EXCERPT_TOKENS), "")
+    out = F.concat(F.when(cut_before, ELLIPSIS).otherwise(F.regexp_extract(body, LEAD_PATTERN, 0)),
+                   F.when(cut_after, F.concat(F.regexp_replace(text, GAP_PATTERN, ""), F.lit(ELLIPSIS))).otherwise(text))
+    return rows.withColumn("excerpt", F.when(size == 0, body).otherwise(out)).drop("_pieces", "_folded", "_span", "_first")
+
+
+def search(index, messages: DataFrame, queries: DataFrame, *,
            default_limit: int = 20, score_digits: int | None = None, with_excerpt: bool = True,
            fallback: bool = True, redact_output: bool = True, extra_patterns=None,
-           stats: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+           stats: DataFrame | None = None, materialize: bool = True, grams=None) -> DataFrame:
     """Ranked, redacted search for ``queries(query_id, folder, query[, limit])``.
 
     ``messages`` is the index table (``folder, uid, subject, sender, date,
@@ -155,6 +192,10 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     query) are checkpointed to the shared checkpoint folder. The fallback
     then sees which queries are unanswered from that small table, and the
     LIKE scan of the message bodies is skipped when every query was answered.
+
+    ``index`` is a ``MailIndex`` or a ``blocks.BlockIndex``, whose bounds leave
+    blocks unread. With ``grams`` (a ``grams.GramIndex``) the fallback looks
+    its candidates up instead of scanning the folders.
     """
     if int(default_limit) < 1:
         raise ValueError("limit must be greater than 0")
@@ -171,17 +212,20 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     active_keys = messages.filter(~F.col("is_deleted")).select("folder", "uid")
     bound = _limit_bound(q)
 
-    # top-k on (query, message, score) only: the literal bound lets Spark cut each map task to
-    # `bound` rows per query before the shuffle; headers are joined for the survivors
-    scored = (bm25_scores(index, q, stats)
-              .join(active_keys, ["folder", "uid"], "left_semi")
-              .withColumn("score", _rounded(F.col("score"), score_digits)))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").asc(), F.col("uid").desc())
-    ranked = (scored.withColumn("rank", F.row_number().over(w))
-              .filter(F.col("rank") <= F.lit(bound))
-              .join(q.select("query_id", "q_limit"), "query_id")
-              .filter(F.col("rank") <= F.col("q_limit")).drop("q_limit")
-              .join(heads, ["folder", "uid"]))
+    if isinstance(index, MailIndex):
+        # top-k on (query, message, score) only: the literal bound lets Spark cut each map task to
+        # `bound` rows per query before the shuffle; headers are joined for the survivors
+        scored = (bm25_scores(index, q, stats)
+                  .join(active_keys, ["folder", "uid"], "left_semi")
+                  .withColumn("score", rounded(F.col("score"), score_digits)))
+        w = Window.partitionBy("query_id").orderBy(F.col("score").asc(), F.col("uid").desc())
+        ranked = (scored.withColumn("rank", F.row_number().over(w))
+                  .filter(F.col("rank") <= F.lit(bound))
+                  .join(q.select("query_id", "q_limit"), "query_id")
+                  .filter(F.col("rank") <= F.col("q_limit")).drop("q_limit"))
+    else:
+        ranked = index.top_hits(q, active_keys, bound, score_digits)
+    ranked = ranked.join(heads, ["folder", "uid"])
     if materialize:
         checkpoint_dir(ranked.sparkSession)
         ranked = ranked.checkpoint(eager=True)
@@ -190,9 +234,8 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     if with_excerpt:
         terms = q.select("query_id", F.array_distinct(F.flatten(F.transform(query_tokens("query"), index_terms))).alias("terms"))
         bodies = messages.select("folder", "uid", "body")
-        ranked = (ranked.join(bodies, ["folder", "uid"]).join(terms, "query_id")
-                  .withColumn("excerpt", shorten(excerpt_column(F.col("body"), F.col("terms"))))
-                  .drop("body", "terms"))
+        ranked = _with_excerpt(ranked.join(bodies, ["folder", "uid"]).join(terms, "query_id"))
+        ranked = ranked.withColumn("excerpt", shorten("excerpt")).drop("body", "terms")
     else:
         ranked = ranked.withColumn("excerpt", F.lit(None).cast("string"))
 
@@ -200,7 +243,9 @@ def search(index: MailIndex, messages: DataFrame, queries: DataFrame, *,
     if fallback:
         pending = _unanswered(q, answered)
         if not (materialize and pending.isEmpty()):
-            out = out.unionByName(fallback_search(messages, pending, None, with_excerpt))
+            found = (fallback_search(messages, pending, None, with_excerpt) if grams is None
+                     else grams.fallback(messages, pending, bound, with_excerpt))
+            out = out.unionByName(found)
     out = out.select(*RESULT_COLUMNS)
     if redact_output:
         out = out.withColumns({c: redact(c, extra) for c in ("subject", "sender", "excerpt")})

@@ -430,17 +430,31 @@ def search_batch(spark, d):
 
 
 def _excerpt_sql(rows) -> str:
-    """Ranked hits with their excerpt, and the fallback rows, redacted."""
+    """Ranked hits with their excerpt, and the fallback rows, redacted.
+
+    An excerpt is 18 tokens of the body: of all runs of 18 tokens that end with
+    a hit, the earliest with the most distinct query terms; from it the shortest
+    end part that still has them all, with the room left shared out before and
+    behind, one more behind.
+    """
     qv = rows if isinstance(rows, str) else "SELECT * FROM " + o.values_sql(rows, ["query_id", "folder", "query", "lim"])
     return f"""
 WITH {o.MESSAGES_CTE}, a AS ({_bm25_sql(rows)}), b AS ({_fallback_sql(rows)}), qs AS ({qv}),
 t AS (SELECT query_id, list_distinct(flatten(list_transform(regexp_extract_all(query, {o.q(o.QTOKEN)}), lambda x: {o.terms_sql('x')}))) AS terms FROM qs),
-w AS (SELECT a.*, m.subject, m.sender, m.date, t.terms, string_split({o.collapse_sql("coalesce(m.body, '')")}, ' ') AS words
+w AS (SELECT a.*, m.subject, m.sender, m.date, m.body, t.terms, regexp_extract_all(coalesce(m.body, ''), {o.q(o.PIECE)}) AS pieces
       FROM a JOIN m USING (folder, uid) JOIN t USING (query_id)),
-p AS (SELECT *, greatest(coalesce(list_position(list_transform(words, lambda x: list_bool_or(list_transform(terms,
-      lambda y: contains(strip_accents(lower(x)), y)))), true), 1) - 1 - {search.EXCERPT_BEFORE}, 0) AS s FROM w),
-e AS (SELECT *, (CASE WHEN s > 0 THEN '...' ELSE '' END) || array_to_string(words[s + 1 : s + {search.EXCERPT_WORDS}], ' ')
-      || (CASE WHEN s + {search.EXCERPT_WORDS} < len(words) THEN '...' ELSE '' END) AS excerpt FROM p)
+x AS (SELECT query_id, folder, uid, terms, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM w),
+h AS (SELECT query_id, folder, uid, i, {o.terms_sql('piece')}[1] AS term FROM x WHERE list_contains(terms, {o.terms_sql('piece')}[1])),
+l AS (SELECT e.query_id, e.folder, e.uid, e.i AS e, h.term, max(h.i) AS i FROM h e JOIN h USING (query_id, folder, uid)
+      WHERE h.i BETWEEN e.i - 17 AND e.i GROUP BY ALL),
+c AS (SELECT query_id, folder, uid, e, count(*) AS n, min(i) AS f FROM l GROUP BY ALL
+      QUALIFY row_number() OVER (PARTITION BY query_id, folder, uid ORDER BY count(*) DESC, e) = 1),
+p AS (SELECT w.*, len(pieces) AS n, CASE WHEN c.e IS NULL THEN 0 ELSE greatest(0, least(len(pieces) - 18, c.f - 1 - (18 - (c.e - c.f + 1)) // 2)) END AS s
+      FROM w LEFT JOIN c USING (query_id, folder, uid)),
+e AS (SELECT *, CASE WHEN n = 0 THEN body ELSE
+        (CASE WHEN s > 0 THEN '...' ELSE regexp_extract(body, {o.q(o.LEAD)}) END)
+        || (CASE WHEN s + 18 < n THEN regexp_replace(array_to_string(pieces[s + 1 : s + 18], ''), {o.q(o.GAP)}, '') || '...'
+            ELSE array_to_string(pieces[s + 1 : s + 18], '') END) END AS excerpt FROM p)
 SELECT query_id, folder, uid, {o.redact_sql('subject')} AS subject, {o.redact_sql('sender')} AS sender, date,
        {o.redact_sql(o.shorten_sql('excerpt'))} AS excerpt, score, false AS is_deleted, false AS body_index_blocked,
        CAST(NULL AS VARCHAR) AS block_reason, rank FROM e

@@ -106,23 +106,6 @@ def test_limit_and_tie_break(spark):
     assert [r["uid"] for r in sorted(res, key=lambda r: r["rank"])] == [7, 6, 5]
 
 
-def brute_excerpt(body, terms):
-    """Independent statement of the excerpt rule: words around the first that holds a term."""
-    words = body.split()
-    first = next((i for i, w in enumerate(words) if any(t in fold_python(w) for t in terms)), 0)
-    first = max(first - search.EXCERPT_BEFORE, 0)
-    end = first + search.EXCERPT_WORDS
-    return "..." * (first > 0) + " ".join(words[first:end]) + "..." * (end < len(words))
-
-
-def test_excerpt_matches_brute_force(spark):
-    words = " ".join(f"w{i}," for i in range(60))
-    bodies = {1: words + " Néedle here. " + words, 2: words, 3: "needle start " + words + " tail needle", 4: "a b\n needle"}
-    msgs = messages(spark, [(u, "needle", b) for u, b in bodies.items()])
-    res = run(spark, msgs, [(1, "INBOX", "needle", 20)]).collect()
-    assert {r["uid"]: r["excerpt"] for r in res} == {u: brute_excerpt(b, ["needle"]) for u, b in bodies.items()}
-
-
 def test_limits_are_checked(spark):
     msgs = messages(spark, [(1, "a", "b")])
     with pytest.raises(ValueError):
