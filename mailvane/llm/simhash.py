@@ -179,19 +179,19 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
     groups = materialise(_rooted(docs, width, max_bits), "simhash-groups")
     kept = (groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("root")
             .agg(F.min("doc_id").alias("_kept_id"), F.min("fp").alias("_kept_fp")).drop("root"))
-    several = (groups.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
-               .filter("a <> b").select(F.col("doc_id").alias("_kept_id")))
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")).filter("_id is not null")
+    several = groups.filter("doc_id is not null").groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("_several"))
+    kept = kept.groupBy("_kept_id").agg(F.collect_set("_kept_fp").alias("_kept_fps")).join(
+        several.withColumnRenamed("doc_id", "_kept_id"), "_kept_id")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id")).filter("_id is not null")
 
     def one(of: DataFrame, *by: str) -> DataFrame:
         return of.groupBy(*by).agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
 
-    same = F.col("_id") == F.col("_kept_id")
-    single = one(rows.join(kept.join(several, "_kept_id", "left_anti"), same), "_id")
-    # only the few rows whose id has several texts need their fingerprint again
-    told = rows.join(several, same, "left_semi").withColumn("_fp", fingerprint(F.col("_text"), width))
-    mixed = one(told.join(kept, same & (F.col("_fp") == F.col("_kept_fp"))), "_id", "_fp")
+    # the fingerprint is taken again only of rows whose id has several texts
     text_batches(docs)
+    named = rows.join(kept, F.col("_id") == F.col("_kept_id")).withColumn("_fp", fingerprint(F.when(F.col("_several"), F.col("_row.text")), width))
+    named = named.filter(~F.col("_several") | F.array_contains("_kept_fps", F.col("_fp")))
+    named = one(named.withColumn("_fp", F.when(F.col("_several"), F.col("_fp"))), "_id", "_fp")
     nameless = one(docs.filter("doc_id is null").select(F.struct("*").alias("_row"), fingerprint(F.col("text"), width).alias("_fp"))
                    .join(groups.filter("component_id is null").select("fp", "root").distinct(), F.col("_fp") == F.col("fp")), "root")
-    return single.unionByName(mixed).unionByName(nameless)
+    return named.unionByName(nameless)
