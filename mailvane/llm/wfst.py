@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -31,8 +32,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
 
 BLANK = "▁"
-#: Words whose paths one Python worker remembers, and the longest word remembered.
-REMEMBERED, LONGEST = 300_000, 64
+#: Words whose paths one Python worker remembers (up to twice as many), and the longest word remembered.
+REMEMBERED, LONGEST = 200_000, 64
 #: Size bound of a model that is sent to the executors.
 MAX_MODEL_BYTES = 64 << 20
 #: Kinds of pieces and models in a model file (fixed values of the format).
@@ -67,15 +68,18 @@ def _fields(b: bytes):
 
 
 class _Paths(dict):
-    """Remembered words and their ids as little-endian bytes."""
+    """Remembered words and their ids as native 32-bit numbers; when full, words not met since it was last full are forgotten."""
 
     def __init__(self, path):
-        self.path = path
+        self.path, self.before = path, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.path(word), dtype="<i4").tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = array("i", self.path(word)).tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -154,6 +158,8 @@ class Transducer:
 
     def shortest(self, s: str) -> list[int]:
         """Ids on the shortest path through all arcs composed with ``s``; uncovered characters stand alone."""
+        if self.single.issuperset(s):
+            return self._covered(s) if s else []
         ids: list[int] = []
         at = 0
         for i, ch in enumerate(s):
@@ -219,7 +225,9 @@ class Transducer:
 
     def _behind_blank(self, w: str) -> list[int]:
         """Ids of a blank and ``w``, which has none."""
-        return [i for x in self.words.findall(BLANK + w) for i in np.frombuffer(self.paths[x], dtype="<i4").tolist()] if "\n" in w else self._word(BLANK + w)
+        if "\n" in w:
+            return [i for x in self.words.findall(BLANK + w) for i in np.frombuffer(self.paths[x], dtype=np.intc).tolist()]
+        return self.shortest(BLANK + w) if w else self._word(BLANK)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -229,9 +237,9 @@ class Transducer:
         if not text.isascii():
             text = text.encode("utf-8", "replace").decode("utf-8") if _SURROGATE.search(text) else text
         if self.prefix and "  " not in text and text[:1] != " " and text[-1:] != " " and BLANK not in text:
-            return np.frombuffer(b"".join(map(self.behind_blank.__getitem__, text.split(" "))), dtype="<i4")
+            return np.frombuffer(b"".join(map(self.behind_blank.__getitem__, text.split(" "))), dtype=np.intc)
         s = (BLANK if self.prefix else "") + text.replace(" ", BLANK)
-        return np.frombuffer(b"".join(map(self.paths.__getitem__, self.words.findall(s))), dtype="<i4")
+        return np.frombuffer(b"".join(map(self.paths.__getitem__, self.words.findall(s))), dtype=np.intc)
 
     def decode(self, ids) -> str:
         if ids is None:
