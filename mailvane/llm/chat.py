@@ -3,8 +3,12 @@
 Prefix sums of turn tokens choose the turns of a window: turns (system turn
 aside) whose tokens begin in one stretch of ``step`` tokens are its new turns.
 Before them a window repeats the system turn and those turns that begin in the
-last ``history`` tokens before the stretch; repeats carry no loss. Only texts of
-new assistant turns are under the loss mask, so each is a target exactly once.
+last ``history`` tokens before the stretch, as far as the new turns leave room;
+repeats carry no loss. The step of a
+conversation is half of what its system turn and the history leave of the
+budget; a long system turn shortens the history first, to a third of the rest.
+Only texts of new assistant turns are under the loss mask, so each is a target
+exactly once.
 
 Defined results: turns are taken by turn, then role and text (null first);
 null role or text counts as empty; an empty turn still has the tokens of its
@@ -21,7 +25,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -82,8 +86,7 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
     A conversation is not gathered: sums run within SPAN turn numbers first and
     then over the sums, and only the turns of one window meet.
     """
-    step = (budget - history) // 2
-    if not 0 <= history <= step:
+    if not 0 <= history <= (budget - history) // 2:
         raise ValueError("history must fit into half of what it leaves of the budget")
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
@@ -109,14 +112,25 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
                                        F.col("tokens").alias("ktokens"), F.col("place").alias("kplace"))
     turns = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("kc")), "left")
     at = F.col("from") - F.when(F.col("place") > F.col("kplace"), F.col("ktokens")).otherwise(0)
+    room = F.greatest(F.lit(budget) - F.coalesce("ktokens", F.lit(0)), F.lit(0))
+    history = F.least(F.lit(history), F.floor(room / 3))
+    step = F.greatest(F.floor((room - history) / 2), F.lit(1))
     turns = turns.withColumn("at", at).withColumn("window", F.floor(at / step))
     uses = F.array(F.struct("window", F.lit(False).alias("again")),
                    F.struct(F.when(~F.col("kept") & ((F.col("window") + 1) * step - F.col("at") <= history), F.col("window") + 1).alias("window"),
                             F.lit(True).alias("again")))
-    placed = turns.select("conv_id", "role", "text", "tokens", "place", "kept", F.inline(uses)).filter("window is not null")
+    turns = turns.withColumn("room", room + F.when(F.col("kept"), F.col("tokens")).otherwise(0))
+    placed = turns.select("conv_id", "role", "text", "tokens", "place", "kept", "room", F.inline(uses)).filter("window is not null")
     packed = placed.groupBy("conv_id", "window").agg(
-        F.sort_array(F.collect_list(F.struct("place", "again", "role", "text", "kept"))).alias("turns"), F.sum("tokens").alias("tokens"),
-        F.count_if(~F.col("again")).alias("new")).filter("new > 0")
+        F.sort_array(F.collect_list(F.struct("place", "again", "role", "text", "kept", "tokens"))).alias("turns"),
+        F.sum(F.when(~F.col("again"), F.col("tokens"))).alias("new"), F.max("room").alias("room")).filter("new is not null")
+
+    def total(turns: Column) -> Column:
+        return F.aggregate(turns, F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
+
+    # of the repeated turns the last ones that the new turns leave room for
+    fits = F.filter("turns", lambda t: ~t["again"] | (total(F.filter("turns", lambda u: u["again"] & (u["place"] >= t["place"]))) <= F.col("room") - F.col("new")))
+    packed = packed.withColumn("turns", fits).withColumn("tokens", total(F.col("turns")))
     packed = packed.join(kept, F.col("conv_id").eqNullSafe(F.col("kc")), "left").select(
         "conv_id", "window", "tokens", F.transform("turns", lambda t: F.struct(t["again"], t["role"], t["text"])).alias("turns"),
         F.exists("turns", lambda t: t["kept"]).alias("has"), "krole", "ktext", "ktokens", "kplace",

@@ -8,9 +8,8 @@ in a text, and Myers' distance verifies the text around each hit.
 
 Defined results: a null or empty text has no hit; an item that is null or
 without a letter or digit is in no text; an item shorter than MIN_BYTES is
-found without an edit and between word boundaries only, one shorter than
-TINY_BYTES and of fewer than TINY_WORDS words only as the whole text (such a
-phrase is not evidence); items may be of any length; of several places of
+found without an edit and between word boundaries only; items may be of any
+length, one word included; of several places of
 an item in a text the one of the smallest distance, then smallest position, is
 given; repeated rows and repeated items give repeated hits; empty tables give
 no hits. Columns other than doc_id, text and item_id are not read.
@@ -32,7 +31,6 @@ from .common import text_batches
 
 RATE = 0.08
 MIN_BYTES = 24
-TINY_BYTES, TINY_WORDS = 8, 3
 #: Items and characters of one pass over the texts, which bound what is broadcast; a longer item is in a pass whole.
 BLOCK_ITEMS = 4_000
 BLOCK_CHARS = 2_000_000
@@ -90,13 +88,10 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], rate: float = RATE):
         self.items: list[tuple[int, str, int, dict[str, int]]] = []
-        self.whole: dict[str, list[int]] = defaultdict(list)
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in rows:
             x = normal(text)
-            if len(x) < TINY_BYTES and x.count(" ") + 1 < TINY_WORDS:
-                if x:
-                    self.whole[x].append(item_id)
+            if not x:
                 continue
             k = math.floor(rate * len(x)) if len(x) >= MIN_BYTES else 0
             cuts = [round(j * len(x) / (k + 1)) for j in range(k + 2)]
@@ -112,7 +107,7 @@ class Items:
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item_id, distance, end in the compared form) of every item in ``text``."""
         x = normal(text)
-        out = [(i, 0, len(x)) for i in self.whole.get(x, ())]
+        out: list[tuple[int, int, int]] = []
         if not self.items or not x:
             return out
         best: dict[int, tuple[int, int]] = {}

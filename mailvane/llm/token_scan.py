@@ -53,8 +53,17 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
+def store_uri(path: str) -> str:
+    """A folder of the session as the file library names it: Hadoop's names of object stores differ."""
+    scheme, sep, rest = path.partition(":/")
+    if not sep:
+        return path
+    name = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}.get(scheme, scheme)
+    return f"file:///{rest.lstrip('/')}" if name == "file" else f"{name}:/{rest}"
+
+
 def _open(path: str):
-    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return pafs.FileSystem.from_uri(store_uri(path))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str) -> TokenFiles:

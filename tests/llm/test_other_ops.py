@@ -167,9 +167,24 @@ def test_windows_budget_history_and_system(spark, monkeypatch):
     assert len(windows) > 30
 
 
+def test_a_long_system_turn_is_inside_the_budget(spark):
+    rows = [(c, 0, "system", " ".join(["s"] * n)) for c, n in enumerate((296, 700, 996, 2000))]
+    rows += [(c, t, ("user", "assistant")[t % 2], " ".join(["w"] * k)) for c, k in enumerate((370, 90, 4, 4)) for t in range(1, 30)]
+    for w in check_conversations(spark, rows, budget=1024, history=256):
+        assert w.n_tokens <= 1024 or w.conv_id == 3
+        assert w.n_tokens == sum(len(t.split()) + chat.MARKS for _, _, t, _ in chat.parse_window(w.text))
+
+
 def test_chat_edge_cases(spark):
     rows = [(1, None, None, None), (1, 0, "system", "s"), (1, 0, "system", "s"), (1, 2, "assistant", "x " * 5000), (1, 3, "assistant", None), (None, 0, "assistant", "n"),
             (None, 0, "assistant", "n"), (2, 5, "assistant", "only"), (3, -4, "user", "a\\b"), (3, 10**12, "assistant", "</s>"), (4, 1, "user", "q"), (4, 2, "system", "late")]
     check_conversations(spark, rows)
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.windows(none)).count() == 0
+
+
+def test_names_of_object_stores():
+    from mailvane.llm.token_scan import store_uri
+
+    assert [store_uri(p) for p in ("s3a://b/x", "hdfs://n:1/x", "file:/tmp/x", "file:///tmp/x", "/tmp/x", "abfs://c@a/x")] == [
+        "s3://b/x", "hdfs://n:1/x", "file:///tmp/x", "file:///tmp/x", "/tmp/x", "abfss://c@a/x"]
