@@ -110,11 +110,6 @@ def read_bodies(messages: DataFrame, bodies: DataFrame | None, keys: DataFrame,
             .unionByName(redact_body(blocked_rows, None, extra)))
 
 
-def active(messages: DataFrame) -> DataFrame:
-    """Rows not soft-deleted."""
-    return messages.filter(~F.col("is_deleted"))
-
-
 def active_blocked(messages: DataFrame, limit: int | None = None) -> DataFrame:
     """Active blocked rows, newest first per folder, optionally the newest ``limit``."""
     rows = messages.filter(~F.col("is_deleted") & F.col("body_index_blocked"))
@@ -144,10 +139,10 @@ def body_search(messages: DataFrame, queries: DataFrame, max_body_chars: int | N
     # Slice keys only, with a literal bound so Spark plans a partial WindowGroupLimit before the
     # shuffle (a hot folder sends at most `bound` keys per map task); bodies are joined afterwards,
     # for the sliced keys only. The bound is the widest max_scan of the (small) query batch.
-    bound = q.agg(F.max("q_scan")).first()[0]
-    if bound is None:
-        bound = 0
-    _check_positive("max_scan", bound if bound else None)
+    bound, least_scan, least_limit = q.agg(F.max("q_scan"), F.min("q_scan"), F.min("q_limit")).first()
+    _check_positive("max_scan", least_scan)
+    _check_positive("limit", least_limit)
+    bound = bound or 0
     scan_n = q.groupBy("folder").agg(F.max("q_scan").alias("scan_n"))
     messages = restrict_folders(messages, q)
     cols = list(HEADER_COLUMNS) + ["body", "body_text_type", "truncated"]

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..sources.tables import MESSAGE_SCHEMA
+from .digests import missing
+from .reading import active_blocked
 
 
 def apply_index_policy(source: DataFrame, keywords=policy.COMPENSATION_SUBJECT_KEYWORDS,
@@ -143,11 +145,8 @@ def build_worklist(listing: DataFrame, messages: DataFrame, decisions: DataFrame
                 .select("folder", "uid", F.lit("backfill").alias("reason"), F.lit(False).alias("checkpoint")))
     out = initial.unionByName(new).unionByName(backfill)
     if opts.allow_blocked_body:
-        blocked = (messages.filter(~F.col("is_deleted") & F.col("body_index_blocked"))
-                   .select("folder", "uid")
-                   .join(d.filter(~F.col("first_load")).select("folder"), "folder")
-                   .withColumn("r", F.row_number().over(w_desc))
-                   .filter(F.col("r") <= F.lit(int(opts.initial_limit))).drop("r")
+        known = messages.join(d.filter(~F.col("first_load")).select("folder"), "folder", "left_semi")
+        blocked = (active_blocked(known, opts.initial_limit).select("folder", "uid")
                    .join(new.select("folder", "uid"), ["folder", "uid"], "left_anti")
                    .join(backfill.select("folder", "uid"), ["folder", "uid"], "left_anti")
                    .select("folder", "uid", F.lit("blocked").alias("reason"), F.lit(False).alias("checkpoint")))
@@ -231,16 +230,13 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     upserted = kept.withColumn("fresh", F.lit(False)).unionByName(indexed.select(*cols, F.lit(True).alias("fresh")))
 
     # soft delete: active rows missing from a successful full listing
-    # Only folders due for a full check meet the listing; every other row passes through untouched,
-    # so a run with few checked folders never joins the whole index with the whole listing.
-    listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid", F.lit(True).alias("listed")).distinct()
+    # Only folders due for a full check meet the listing, and of those only the uid ranges whose digests differ
     checked = d.filter("did_full_check").select("folder")
-    in_check = (upserted.join(checked, "folder", "left_semi")
-                .join(listed.join(checked, "folder", "left_semi"), ["folder", "uid"], "left")
-                .withColumn("gone", ~F.col("is_deleted") & F.col("listed").isNull())
-                .drop("listed"))
-    passing = upserted.join(checked, "folder", "left_anti").withColumn("gone", F.lit(False))
-    marked = in_check.unionByName(passing)
+    listed = listing.select("folder", "uid").distinct().join(checked, "folder", "left_semi")
+    held = upserted.filter(~F.col("is_deleted")).select("folder", "uid").join(checked, "folder", "left_semi")
+    gone = missing(held, listed).withColumn("gone", F.lit(True))
+    marked = (upserted.join(gone, ["folder", "uid"], "left")
+              .withColumn("gone", ~F.col("is_deleted") & F.coalesce("gone", F.lit(False))))
     new_messages = marked.select(
         *[c for c in cols if c not in ("is_deleted", "deleted_at")],
         (F.col("is_deleted") | F.col("gone")).alias("is_deleted"),

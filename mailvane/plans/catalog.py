@@ -447,8 +447,8 @@ x AS (SELECT query_id, folder, uid, terms, unnest(pieces) AS piece, generate_sub
 h AS (SELECT query_id, folder, uid, i, {o.terms_sql('piece')}[1] AS term FROM x WHERE list_contains(terms, {o.terms_sql('piece')}[1])),
 l AS (SELECT e.query_id, e.folder, e.uid, e.i AS e, h.term, max(h.i) AS i FROM h e JOIN h USING (query_id, folder, uid)
       WHERE h.i BETWEEN e.i - 17 AND e.i GROUP BY ALL),
-c AS (SELECT query_id, folder, uid, e, count(*) AS n, min(i) AS f FROM l GROUP BY ALL
-      QUALIFY row_number() OVER (PARTITION BY query_id, folder, uid ORDER BY count(*) DESC, e) = 1),
+v AS (SELECT query_id, folder, uid, e, count(*) AS n, min(i) AS f FROM l GROUP BY query_id, folder, uid, e),
+c AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query_id, folder, uid ORDER BY n DESC, e) = 1),
 p AS (SELECT w.*, len(pieces) AS n, CASE WHEN c.e IS NULL THEN 0 ELSE greatest(0, least(len(pieces) - 18, c.f - 1 - (18 - (c.e - c.f + 1)) // 2)) END AS s
       FROM w LEFT JOIN c USING (query_id, folder, uid)),
 e AS (SELECT *, CASE WHEN n = 0 THEN body ELSE
