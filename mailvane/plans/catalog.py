@@ -185,15 +185,7 @@ def _redact_query(kind: str, fn):
         docs = documents(spark, d)
         text = F.concat(F.col("text"), fx.secret_suffix(kind, F.col("doc_id")))
         return docs.select("doc_id", fn(text).alias("redacted"))
-    sql_fn = {
-        "rrn": lambda e: o.rr(e, r"\b\d{6}-[1-8]\d{6}\b", "[REDACTED:RRN]"),
-        "bearer": lambda e: o.rr(e, r"(?i)\bAuthorization\s*:\s*Bearer\s+[A-Za-z0-9._~+/=-]{8,}",
-                                 "[REDACTED:BEARER_TOKEN]"),
-        "jwt": lambda e: o.rr(e, r"\b[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
-                              "[REDACTED:JWT]"),
-        "url": lambda e: o.rr(e, r"(?i)([?&](?:token|access_token|refresh_token|api_key|key|secret)=)[^&#\s]+",
-                              r"\1[REDACTED:URL_TOKEN]"),
-    }
+    sql_fn = {"rrn": o.rrn_sql, "bearer": o.bearer_sql, "jwt": o.jwt_sql, "url": o.url_secret_sql}
     sql = None
     if kind in sql_fn:
         sql = (f"SELECT doc_id, {sql_fn[kind]('(text || ' + fx.secret_suffix_sql(kind) + ')')} AS redacted "
@@ -208,12 +200,7 @@ _redact_query("url", redact_url_secret)
 
 
 def _secret_sql() -> str:
-    head = r"(?i)(^|[^?&\w])(" + o.SECRET_KEYS + r")\b(\s*[:=]\s*)"
-    e = "(text || " + fx.secret_suffix_sql("secret") + ")"
-    e = o.rr(e, head + r'"[^\s"' + r"';&]+" + '"?', r'\1\2\3"[REDACTED:SECRET]"')
-    e = o.rr(e, head + r"'[^\s" + '"' + r"';&]+'?", r"\1\2\3'[REDACTED:SECRET]'")
-    e = o.rr(e, head + r"[^\s" + '"' + r"';&]+", r"\1\2\3[REDACTED:SECRET]")
-    return f"SELECT doc_id, {e} AS redacted FROM documents"
+    return f"SELECT doc_id, {o.secret_sql('(text || ' + fx.secret_suffix_sql('secret') + ')')} AS redacted FROM documents"
 
 
 register("redact_secret", _secret_sql())(

@@ -130,11 +130,5 @@ def uid_listing(messages: DataFrame, min_uid: int | None = None) -> DataFrame:
     return out
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there; any other trouble with it is an error, not an empty table."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
