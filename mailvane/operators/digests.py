@@ -33,7 +33,10 @@ def differing(left: DataFrame, right: DataFrame, span: int) -> DataFrame:
 
 
 def missing(left: DataFrame, right: DataFrame, spans: tuple[int, ...] = SPANS) -> DataFrame:
-    """Rows of ``left(folder, uid)`` that ``right(folder, uid)`` does not have; rows with a null uid are in neither."""
+    """Rows of ``left(folder, uid)`` that ``right(folder, uid)`` does not have; rows with a null uid are in neither.
+
+    A repeated row only makes its range differ, and the join at the end decides.
+    """
     left, right = (t.select("folder", "uid").filter("uid is not null") for t in (left, right))
     for span in spans:
         parts = differing(left, right, span)

@@ -121,22 +121,23 @@ def build_worklist(listing: DataFrame, messages: DataFrame, decisions: DataFrame
                    opts: SyncOptions) -> DataFrame:
     """Ordered, disjoint work lists: initial, new, backfill, blocked.
 
-    Slices are ``row_number() <= n`` per folder (partial WindowGroupLimit
+    Slices are ``dense_rank() <= n`` per folder (partial WindowGroupLimit
     before the shuffle). Returns ``folder, uid, reason, checkpoint`` where
     ``checkpoint`` marks the uids that may move the checkpoint.
     """
     d = decisions.select("folder", "first_load", "eff_last_uid", "needs_backfill", "reset")
-    listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid").distinct().join(d, "folder")
+    listed = listing.filter(F.col("uid").isNotNull()).select("folder", "uid").join(d, "folder")
     w_desc = Window.partitionBy("folder").orderBy(F.col("uid").desc())
     w_asc = Window.partitionBy("folder").orderBy(F.col("uid").asc())
-    recent = (listed.withColumn("r", F.row_number().over(w_desc))
-              .filter(F.col("r") <= F.lit(int(opts.initial_limit))).drop("r"))
+    # a uid that is listed more than once has one rank, and leaves one row of the slice
+    recent = (listed.withColumn("r", F.dense_rank().over(w_desc))
+              .filter(F.col("r") <= F.lit(int(opts.initial_limit))).drop("r").distinct())
     initial = recent.filter("first_load").select("folder", "uid", F.lit("initial").alias("reason"),
                                                  F.lit(True).alias("checkpoint"))
     new = (listed.filter(~F.col("first_load") & (F.col("uid") > F.col("eff_last_uid")))
-           .withColumn("r", F.row_number().over(w_asc))
+           .withColumn("r", F.dense_rank().over(w_asc))
            .filter(F.col("r") <= F.lit(int(opts.incremental_limit)))
-           .select("folder", "uid", F.lit("new").alias("reason"), F.lit(True).alias("checkpoint")))
+           .select("folder", "uid", F.lit("new").alias("reason"), F.lit(True).alias("checkpoint")).distinct())
     active_keys = messages.filter(~F.col("is_deleted")).select("folder", "uid")
     backfill = (recent.filter(~F.col("first_load") & F.col("needs_backfill"))
                 .select("folder", "uid")
@@ -232,8 +233,10 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     # soft delete: active rows missing from a successful full listing
     # Only folders due for a full check meet the listing, and of those only the uid ranges whose digests differ
     checked = d.filter("did_full_check").select("folder")
-    listed = listing.select("folder", "uid").distinct().join(checked, "folder", "left_semi")
-    held = upserted.filter(~F.col("is_deleted")).select("folder", "uid").join(checked, "folder", "left_semi")
+    # (what this run fetched was listed, or was held before)
+    listed = listing.select("folder", "uid").join(checked, "folder", "left_semi")
+    held = (messages.filter(~F.col("is_deleted")).select("folder", "uid").join(checked, "folder", "left_semi")
+            .join(reset_folders, "folder", "left_anti"))
     gone = missing(held, listed).withColumn("gone", F.lit(True))
     marked = (upserted.join(gone, ["folder", "uid"], "left")
               .withColumn("gone", ~F.col("is_deleted") & F.coalesce("gone", F.lit(False))))
