@@ -189,10 +189,16 @@ class Models:
     """Per language and kind, a sorted array of grams and their logarithms."""
 
     def __init__(self, rows: pd.DataFrame):
-        rows = rows.assign(g=rows["g"].to_numpy(np.int64).view(np.uint64)).sort_values(["lang", "kind", "g"])
-        self._set(sorted(rows["lang"].unique().tolist()),
-                  {(lang, int(kind)): (part["g"].to_numpy(np.uint64), part["logp"].to_numpy(np.float64))
-                   for (lang, kind), part in rows.groupby(["lang", "kind"])})
+        langs, code = np.unique(rows["lang"].to_numpy(dtype=str), return_inverse=True)
+        kind, g, logp = rows["kind"].to_numpy(np.int8), rows["g"].to_numpy(np.int64).view(np.uint64), rows["logp"].to_numpy(np.float64)
+        tables = {}
+        for i, lang in enumerate(langs.tolist()):
+            for k in range(-ORDER, ORDER + 1):
+                at = np.flatnonzero((code == i) & (kind == k))
+                if at.size:
+                    at = at[np.argsort(g[at])]
+                    tables[lang, k] = g[at], logp[at]
+        self._set(langs.tolist(), tables)
 
     @classmethod
     def of(cls, langs: list[str], tables: dict) -> Models:
@@ -424,6 +430,15 @@ def _range(gram: np.ndarray, ranges: int) -> np.ndarray:
     return ((mixed(gram) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def _fetched(table: DataFrame) -> Models:
+    """The whole model, fetched language by language so that the driver never holds it as rows."""
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    tables = {}
+    for lang in langs:
+        tables |= Models(table.filter(F.col("lang") == lang).select("lang", F.col("kind").cast("byte").alias("kind"), "g", "logp").toPandas()).tables
+    return Models.of(langs, tables)
+
+
 def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> LanguageId:
     """Learn from the learnable documents of ``docs`` (doc_id, text, lang).
 
@@ -443,7 +458,7 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> LanguageId:
     table = estimate(counts)
     entries = table.count()
     if entries <= max_broadcast:
-        learned = LanguageId(Models(table.toPandas()))
+        learned = LanguageId(_fetched(table))
     else:  # one constant a language comes to the driver
         learned = LanguageId(Models(table.filter("kind = 0").distinct().toPandas()), table, entries)
     if not learned.models.langs:
