@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -142,62 +142,61 @@ def mixed(gram: np.ndarray) -> np.ndarray:
 
 
 def estimate(counts: DataFrame) -> DataFrame:
-    """(lang, kind, g, logp): interpolated Kneser-Ney of each order as logarithms.
+    """(lang, kind, g, value): interpolated Kneser-Ney in the parts that a probability is added up from.
 
-    Kind k holds the probability of the seen k-grams, kind -k the weight that a
-    context of a k-gram leaves to the order below; kind 0 an unseen letter. The
-    highest order uses counts, lower ones the number of different letters
-    before a gram. The absolute discount of an order is n1 / (n1 + 2 n2).
+    Kind k holds what a seen k-gram has of its own, kind -k the weight that a
+    context of a k-gram leaves to the order below, kind 0 the even share below
+    the first order. The highest order uses counts, lower ones the number of
+    different letters before a gram. The absolute discount of an order is
+    n1 / (n1 + 2 n2). A context has as many grams as there are letters at most.
     """
-    def low_bits(k: int) -> int:
-        return (1 << (16 * k)) - 1
-
-    n = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        low = n[k + 1].groupBy("lang", F.col("g").bitwiseAND(low_bits(k)).alias("g"))
-        n[k] = materialise(low.agg(F.count("*").alias("n")), f"kn-count-{k}")
-    below, parts = None, []
-    for k in range(1, ORDER + 1):
-        d = n[k].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-        share = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
-        d = d.select("lang", F.least(share, F.lit(0.9)).alias("d"))
-        same = Window.partitionBy("lang", "ctx")
-        here = n[k].withColumn("ctx", F.shiftrightunsigned("g", 16)).withColumn("total", F.sum("n").over(same)).withColumn(
-            "types", F.count("*").over(same)).join(d, "lang")
-        here = here.select("lang", "g", "ctx", "types", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"),
-                           (F.col("d") * F.col("types") / F.col("total")).alias("left"))
-        if below is None:
-            low_p, joined = 1 / (F.col("types") + 1), here
-        else:
-            low = below.select("lang", F.col("g").alias("low"), F.col("p").alias("low_p"))
-            low_p, joined = F.col("low_p"), here.withColumn("low", F.col("g").bitwiseAND(low_bits(k - 1))).join(low, ["lang", "low"])
-        below = materialise(joined.select("lang", "g", "ctx", "types", "left", (F.col("own") + F.col("left") * low_p).alias("p")), f"kn-{k}")
-        parts.append(below.select("lang", F.lit(k).alias("kind"), "g", "p"))
-        rest = F.col("left") / (F.col("types") + 1) if k == 1 else F.col("left")
-        parts.append(below.select("lang", F.lit(-k if k > 1 else 0).alias("kind"), F.col("ctx").alias("g"), rest.alias("p")).distinct())
-    model = parts[0]
-    for p in parts[1:]:
-        model = model.unionByName(p)
-    # an unseen letter has one probability, whatever stands before it
-    return materialise(model.select("lang", "kind", F.when(F.col("kind") == 0, 0).otherwise(F.col("g")).alias("g"), F.log("p").alias("logp")), "kn-model")
+    def low(k: int) -> Column:
+        return F.col("g") if k == ORDER else F.col("g").bitwiseAND((1 << (16 * k)) - 1)
+
+    shorter = F.array(*[F.struct(F.lit(k).alias("k"), low(k).alias("g"), low(k + 1).alias("longer")) for k in range(1, ORDER)])
+    fewer = counts.select("lang", F.inline(shorter)).distinct().groupBy("lang", "k", "g").agg(F.count("*").alias("n"))
+    n = materialise(counts.select("lang", F.lit(ORDER).alias("k"), "g", "n").unionByName(fewer), "kn-counts")
+    d = n.groupBy("lang", "k").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+    share = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
+    d = d.select("lang", "k", F.least(share, F.lit(0.9)).alias("d"))
+    same = Window.partitionBy("lang", "k", "ctx")
+    here = n.withColumn("ctx", F.shiftrightunsigned("g", 16)).select(
+        "*", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("types"), (F.row_number().over(same.orderBy("g")) == 1).alias("first"))
+
+    def entry(kind: Column, g: Column, value: Column) -> Column:
+        return F.struct(kind.cast("int").alias("kind"), g.cast("long").alias("g"), value.cast("double").alias("value"))
+
+    own = entry(F.col("k"), F.col("g"), (F.col("n") - F.col("d")) / F.col("total"))
+    left = entry(-F.col("k"), F.col("ctx"), F.col("d") * F.col("types") / F.col("total"))
+    even = entry(F.lit(0), F.lit(0), 1 / (F.col("types") + 1))
+    entries = F.array(own, F.when(F.col("first"), left), F.when(F.col("first") & (F.col("k") == 1), even))
+    return materialise(here.join(d, ["lang", "k"]).select("lang", F.inline(entries)).filter("kind is not null"), "kn-model")
 
 
 _NO_KEYS, _NO_VALUES = np.zeros(0, dtype=np.uint64), np.zeros(0)
+#: Kinds with one entry a language, the same for every gram.
+CONSTANT = (0, -1)
+
+
+def _tables(lang: str, rows: pd.DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Sorted arrays by (language, kind) from one language's entries (kind, g, value)."""
+    kind, g, value = rows["kind"].to_numpy(np.int8), rows["g"].to_numpy(np.int64).view(np.uint64), rows["value"].to_numpy(np.float64)
+    out = {}
+    for k in np.unique(kind).tolist():
+        at = np.flatnonzero(kind == k)
+        at = at[np.argsort(g[at])]
+        out[lang, k] = g[at], value[at]
+    return out
 
 
 class Models:
-    """Per language and kind, a sorted array of grams and their logarithms."""
+    """Per language and kind, a sorted array of grams and their values."""
 
     def __init__(self, rows: pd.DataFrame):
         langs, code = np.unique(rows["lang"].to_numpy(dtype=str), return_inverse=True)
-        kind, g, logp = rows["kind"].to_numpy(np.int8), rows["g"].to_numpy(np.int64).view(np.uint64), rows["logp"].to_numpy(np.float64)
         tables = {}
         for i, lang in enumerate(langs.tolist()):
-            for k in range(-ORDER, ORDER + 1):
-                at = np.flatnonzero((code == i) & (kind == k))
-                if at.size:
-                    at = at[np.argsort(g[at])]
-                    tables[lang, k] = g[at], logp[at]
+            tables |= _tables(lang, rows[code == i])
         self._set(langs.tolist(), tables)
 
     @classmethod
@@ -210,26 +209,23 @@ class Models:
     def _set(self, langs, tables):
         self.langs, self.tables, self._keys, self._values = langs, tables, None, None
 
-    def _find(self, lang: str, kind: int, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, lang: str, kind: int, gram: np.ndarray, otherwise: float) -> np.ndarray:
         keys, values = self.tables.get((lang, kind), (_NO_KEYS, _NO_VALUES))
-        at = np.minimum(np.searchsorted(keys, gram), max(keys.size - 1, 0))
         if not keys.size:
-            return np.zeros(gram.size, dtype=bool), np.zeros(gram.size)
-        return keys[at] == gram, values[at]
+            return np.full(gram.size, otherwise)
+        at = np.minimum(np.searchsorted(keys, gram), keys.size - 1)
+        return np.where(keys[at] == gram, values[at], otherwise)
 
-    def logp(self, lang: str, gram: np.ndarray, k: int = ORDER) -> np.ndarray:
-        """log P(last symbol | the symbols before), by the longest seen gram and the weights left to it."""
+    def _p(self, lang: str, gram: np.ndarray, k: int) -> np.ndarray:
         if k == 0:
             return np.full(gram.size, self.tables[lang, 0][1][0])
-        seen, out = self._find(lang, k, gram)
-        if not seen.all():
-            rest = gram[~seen]
-            lower = self.logp(lang, rest & np.uint64((1 << (16 * (k - 1))) - 1), k - 1)
-            if k > 1:
-                known, left = self._find(lang, -k, rest >> np.uint64(16))
-                lower = lower + np.where(known, left, 0.0)
-            out[~seen] = lower
-        return out
+        lower, back = np.unique(gram & np.uint64((1 << (16 * (k - 1))) - 1), return_inverse=True)
+        below = self._p(lang, lower, k - 1)[back]
+        return self._find(lang, k, gram, 0.0) + self._find(lang, -k, gram >> np.uint64(16), 1.0) * below
+
+    def logp(self, lang: str, gram: np.ndarray) -> np.ndarray:
+        """log P(last symbol | the symbols before): each order's own part, and the weight left to the order below."""
+        return np.log(self._p(lang, gram, ORDER))
 
     def scores(self, gram: np.ndarray) -> np.ndarray:
         """log P of each gram (rows) in each language (columns); grams met before come from a table of 2**MET_BITS places."""
@@ -395,7 +391,7 @@ def _asked(rows: DataFrame, learned: LanguageId) -> DataFrame:
         for kind, part in model.groupby("kind"):
             keys, at = np.unique(part["g"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
             values = np.full((keys.size, len(langs)), np.nan)
-            values[at, part["lang"].map(places).to_numpy()] = part["logp"].to_numpy()
+            values[at, part["lang"].map(places).to_numpy()] = part["value"].to_numpy()
             held[kind] = keys, values
         out = []
         for block, kind, keys in zip(asks["block"], asks["kind"], asks["keys"]):
@@ -418,7 +414,7 @@ def _asked(rows: DataFrame, learned: LanguageId) -> DataFrame:
         found = learned.predict(batch["text"].tolist(), Models.of(langs, tables))
         return found.assign(block=batch["block"].to_numpy(), place=batch["place"].to_numpy())
 
-    model = learned.table.filter("kind <> 0").select("lang", "kind", "g", "logp", range_of("g").alias("part"))
+    model = learned.table.filter(~F.col("kind").isin(*CONSTANT)).select("lang", "kind", "g", "value", range_of("g").alias("part"))
     asks = texts.groupBy("block").applyInPandas(ask, "part long, block long, kind int, keys binary")
     answers = model.groupBy("part").cogroup(asks.groupBy("part")).applyInPandas(answer, "block long, kind int, keys binary, values binary")
     found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"{SCHEMA}, block long, place long")
@@ -432,10 +428,10 @@ def _range(gram: np.ndarray, ranges: int) -> np.ndarray:
 
 def _fetched(table: DataFrame) -> Models:
     """The whole model, fetched language by language so that the driver never holds it as rows."""
-    langs = sorted(r["lang"] for r in table.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in table.filter("kind = 0").select("lang").collect())
     tables = {}
     for lang in langs:
-        tables |= Models(table.filter(F.col("lang") == lang).select("lang", F.col("kind").cast("byte").alias("kind"), "g", "logp").toPandas()).tables
+        tables |= _tables(lang, table.filter(F.col("lang") == lang).select(F.col("kind").cast("byte").alias("kind"), "g", "value").toPandas())
     return Models.of(langs, tables)
 
 
@@ -459,8 +455,8 @@ def learn(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> LanguageId:
     entries = table.count()
     if entries <= max_broadcast:
         learned = LanguageId(_fetched(table))
-    else:  # one constant a language comes to the driver
-        learned = LanguageId(Models(table.filter("kind = 0").distinct().toPandas()), table, entries)
+    else:  # two constants a language come to the driver
+        learned = LanguageId(Models(table.filter(F.col("kind").isin(*CONSTANT)).toPandas()), table, entries)
     if not learned.models.langs:
         return learned
     told = predicted(rows.filter(spare).select("lang", "text"), learned).select("row.lang", "p.*").filter("letters > 0")
