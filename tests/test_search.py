@@ -142,3 +142,22 @@ def test_search_context_reports_sync_failure(spark):
     r = report.first()
     assert (r["ok"], r["error"]) == (False, "listing failed")
     assert [x["uid"] for x in results.collect()] == [1]
+
+
+def test_postings_are_cut_to_the_terms_of_a_query_before_any_shuffle(spark):
+    from mailvane.operators import index as ix
+
+    msgs = messages(spark, [(1, "Été", "Alpha éte beta"), (2, "", "beta")])
+    index = ix.build_index(msgs)
+    terms = spark.createDataFrame([("ete",), ("none",)], "term string")
+    assert [tuple(r) for r in index.of_terms(terms).postings.select("term", "uid", "tf").collect()] == [("ete", 1, 2)]
+    plan = index.postings.join(F.broadcast(terms), "term", "left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+
+
+def test_tokens_are_found_without_a_lower_case_copy(spark):
+    from mailvane.functions.text import contains_token
+
+    rows = [("xALPHAx", "alpha"), ("al\npha", "al_pha"), ("É", "é"), ("a.c", "abc"), ("\u212a", "k"), ("a𝔘b", "a_b"), (None, "a")]
+    df = spark.createDataFrame(rows, "text string, token string")
+    assert [r[0] for r in df.select(contains_token("text", "token")).collect()] == [True, True, False, False, False, True, None]
