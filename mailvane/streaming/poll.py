@@ -9,7 +9,7 @@
   run hold them; an epoch change or an unknown epoch restarts the folder.
 * ST2: every micro-batch is a run of a ``MailStore``: its messages, their
   postings and lengths, what they replace, and the state last.
-* ST4: ``maxFilesPerTrigger`` bounds the work per micro-batch.
+* ST4: ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds the work per micro-batch.
 
 Rows never pass through Python and no folder is gathered in one task: the
 only grouping by folder is a maximum, combined before its shuffle.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sync import needs_reset
-from ..session import checkpoint_dir, scratch_path
+from ..session import checkpoint_dir, few, scratch_path
 from ..sources.store import MESSAGE_COLS, MailStore, commit_run, compact
 
 POSITIONS = "folder string, uidvalidity long, last_uid long"
@@ -30,9 +30,10 @@ POSITIONS = "folder string, uidvalidity long, last_uid long"
 
 def message_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
                    max_files_per_trigger: int | None = None, fmt: str = "parquet",
-                   arrival: str | None = None) -> DataFrame:
+                   arrival: str | None = None, max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of message files landing under ``path`` (ST1, ST4).
 
+    A micro-batch is bounded by files or by bytes (one file at least).
     ``arrival`` names a column to add: (file time, file path) of each row, by
     which ``upsert_batches`` can tell the later of two writes.
     """
@@ -41,6 +42,8 @@ def message_stream(spark: SparkSession, path: str, schema: T.StructType, glob: s
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", int(max_bytes_per_trigger))
     rows = r.load(path)
     if arrival:
         rows = rows.withColumn(arrival, F.struct("_metadata.file_modification_time", "_metadata.file_path"))
@@ -180,10 +183,16 @@ def upsert_batches(stream: DataFrame, store: MailStore, checkpoint_location: str
         last = Window.partitionBy("folder", "uid").orderBy(*[F.col(c).desc_nulls_last() for c in order_by], tie)
         newest = _of_epoch(batch, epochs).withColumn("_r", F.row_number().over(last)).filter("_r = 1")
         kept = [c for c in order_by if c in MESSAGE_COLS]
-        if kept:
-            stored = store.messages().select(F.col("folder").alias("_f"), F.col("uid").alias("_u"), F.struct(*kept).alias("_stored"))
-            newer = (F.col("folder").eqNullSafe(F.col("_f")) & F.col("uid").eqNullSafe(F.col("_u")) & (F.col("_stored") > F.struct(*kept)))
-            newest = newest.join(stored, newer, "left_anti")
+        held = None
+        if store.exists():
+            # keys alone are compared: the store holds few of a batch's messages, and its texts stay where they are
+            same = F.col("folder").eqNullSafe(F.col("_f")) & F.col("uid").eqNullSafe(F.col("_u"))
+            named = batch.select(F.col("folder").alias("_f"), F.col("uid").alias("_u")).distinct()
+            stored = store.messages().select("folder", "uid", F.struct(*kept).alias("_stored") if kept else F.lit(None).alias("_stored"))
+            held = few(stored.join(named, same, "left_semi").select(F.col("folder").alias("_f"), F.col("uid").alias("_u"), "_stored")
+                       .checkpoint(eager=True))
+            if kept:
+                newest = newest.join(held, same & (F.col("_stored") > F.struct(*kept)), "left_anti")
         changed = newest.select(*MESSAGE_COLS, F.lit(True).alias("fresh")).checkpoint(eager=True)
         known = state.select(F.col("folder").alias("_f"), F.col("uidvalidity").alias("_known"), "last_uid",
                              "last_full_check_at", F.lit(True).alias("_has"))
@@ -197,7 +206,8 @@ def upsert_batches(stream: DataFrame, store: MailStore, checkpoint_location: str
                         reset.alias("_reset")).checkpoint(eager=True))
         untouched = state.join(seen.select(F.col("folder").alias("_f")), F.col("folder").eqNullSafe(F.col("_f")),
                                "left_anti")
-        commit_run(store, changed, seen.filter("_reset"), untouched.unionByName(seen.drop("_reset")))
+        replaced = changed.filter("uid is not null").join(held, same, "left_semi") if held is not None else None
+        commit_run(store, changed, seen.filter("_reset"), untouched.unionByName(seen.drop("_reset")), replaced)
         if compact_at and len(store.runs()) >= compact_at:
             compact(store)
 

@@ -151,3 +151,37 @@ def test_a_late_epoch_passes_no_gate(spark, tmp_dir):
         land(spark, landing, rows, f"b{i}")
         got = keys(spark.read.parquet(poll.run_to_table(poll.message_stream(spark, landing + "/*", schema), out)))
     assert got == [("A", 1), ("A", 2)]
+
+
+def test_later_runs_name_only_what_they_replace(spark, tmp_dir):
+    """New messages leave nothing to resolve when the store is read; a null uid names no message and resets no folder."""
+    landing, ck = os.path.join(tmp_dir, "landing6"), scratch_path(spark, "replaced")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    store = MailStore(spark, os.path.join(tmp_dir, "replaced-store"))
+
+    def poll_once(name, rows):
+        land(spark, landing, rows, name)
+        poll.upsert_batches(as_messages(poll.message_stream(spark, landing + "/*", schema)), store, ck)
+        gone = store._read("gone", "folder string, uid long, text boolean", sorted(store._numbers(store._path("gone", "*")))).select("folder", "uid")
+        return sorted(map(str, ((r["folder"], r["uid"]) for r in gone.collect())))
+
+    assert poll_once("b1", [("A", 1, 7, "a"), ("A", 2, 7, "b")]) == []
+    assert store._numbers(store._path("gone", "*")) == set()
+    assert poll_once("b2", [("A", 3, 7, "c"), ("B", 1, 7, "d"), ("A", None, 7, "n")]) == []
+    assert poll_once("b3", [("A", 2, 7, "new"), ("A", 4, 7, "e")]) == [str(("A", 2))]
+    assert {(r["folder"], r["uid"], r["subject"]) for r in store.messages().collect()} == {
+        ("A", 1, "a"), ("A", 2, "new"), ("A", 3, "c"), ("A", 4, "e"), ("A", None, "n"), ("B", 1, "d")}
+
+
+def test_documents_come_by_bytes_and_the_later_file_stays(spark, tmp_dir):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    for i, rows in enumerate((docs, docs.limit(3).withColumn("text", F.lit("later words")))):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_dir}/documents.parquet")
+        for f in os.listdir(f"{tmp_dir}/documents.parquet"):
+            if f.endswith(".parquet") and not f.startswith("part-x"):
+                os.utime(f"{tmp_dir}/documents.parquet/{f}") if i else os.utime(f"{tmp_dir}/documents.parquet/{f}", (1, 1))
+                os.rename(f"{tmp_dir}/documents.parquet/{f}", f"{tmp_dir}/documents.parquet/part-x{i}.parquet")
+    store = streams._synced(spark, tmp_dir)
+    assert len(store.runs()) == 1
+    later = {r["uid"] for r in store.messages().filter("body = 'later words'").select("uid").collect()}
+    assert store.messages().count() == docs.count() and later == {r["doc_id"] for r in docs.limit(3).select("doc_id").collect()}
