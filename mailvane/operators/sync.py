@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy
+from ..session import checkpoint_dir, few
 from ..sources.tables import MESSAGE_SCHEMA
 from .digests import missing
 from .reading import active_blocked
@@ -155,8 +156,28 @@ def build_worklist(listing: DataFrame, messages: DataFrame, decisions: DataFrame
     return out
 
 
-def _one_per_key(source: DataFrame) -> DataFrame:
-    """One row per (folder, uid): a fetched one before a failed one, then by a hash of the row."""
+def _sized(keys: DataFrame) -> DataFrame:
+    """Checkpointed ``keys`` as the built side of a join: sent to every task where few, else hashed by partition.
+
+    Either way the texts they meet stream past them and are not sorted, so a
+    task holds keys, and no more of them as texts grow longer.
+    """
+    return few(keys, many="shuffle_hash")
+
+
+def _one_per_key(source: DataFrame, materialize: bool = False) -> DataFrame:
+    """One row per (folder, uid): a fetched one before a failed one, then by a hash of the row.
+
+    With ``materialize`` the keys that repeat are found first, without texts;
+    only their rows are compared, and the others are not sorted for it. Keys
+    are not null.
+    """
+    if materialize:
+        keys = source.groupBy("folder", "uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("folder", "uid").checkpoint(eager=True)
+        if keys.isEmpty():
+            return source
+        again = _sized(keys)
+        return source.join(again, ["folder", "uid"], "left_anti").unionByName(_one_per_key(source.join(again, ["folder", "uid"], "left_semi")))
     order = F.struct((~F.coalesce("ok", F.lit(False))).alias("failed"), F.xxhash64(*[c for c in source.columns if c != "ok"]).alias("h"))
     return source.groupBy("folder", "uid").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
 
@@ -188,25 +209,36 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
         run_ts if run_ts is not None else F.current_timestamp())
     d = folder_decisions(listing, messages, state, opts, ts)
     if materialize:
-        from ..session import checkpoint_dir
-
         checkpoint_dir(listing.sparkSession)
         d = d.checkpoint(eager=True)
     work = build_worklist(listing, messages, d, opts)
+    asked = work
+    if materialize:
+        work = work.checkpoint(eager=True)
+        asked = _sized(work)
 
     ok = F.coalesce(F.col("ok"), F.lit(True)) if "ok" in source.columns else F.lit(True)
     src = source.select("folder", "uid", "subject", "sender", "date", "body", "body_text_type",
                         "truncated", ok.alias("ok"), F.lit(True).alias("found"))
     # semi-join first: only work-list rows leave the mailbox scan (the small key side can be
     # broadcast); the left join that marks missing uids then runs between two small sides
-    src = _one_per_key(src.join(work.select("folder", "uid"), ["folder", "uid"], "left_semi"))
-    fetched = (work.join(src, ["folder", "uid"], "left")
+    src = _one_per_key(src.join(asked.select("folder", "uid"), ["folder", "uid"], "left_semi"), materialize)
+    if materialize:
+        # the same rows as the left join, with the texts on the streamed side
+        found = src.join(asked, ["folder", "uid"])
+        absent = work.join(src.select("folder", "uid"), ["folder", "uid"], "left_anti")
+        fetched = found.unionByName(absent, allowMissingColumns=True)
+    else:
+        fetched = work.join(src, ["folder", "uid"], "left")
+    fetched = (fetched
                .withColumn("ok", F.coalesce(F.col("found"), F.lit(False)) & F.coalesce(F.col("ok"), F.lit(False))))
     if materialize:
         fetched = fetched.checkpoint(eager=True)
         work = fetched.select("folder", "uid", "reason", "checkpoint")
     keywords = None if opts.allow_blocked_body else opts.keywords
+    # few rows, counted: the texts are not dealt out by folder, nor by key for the soft deletes
     epochs = d.select("folder", "cur_epoch")
+    epochs = few(epochs) if materialize else epochs
     indexed = (apply_index_policy(fetched.filter("ok"), keywords, opts.block_reason)
                .join(epochs, "folder")
                .select("folder", "uid", F.col("cur_epoch").alias("uidvalidity"), "subject", "sender", "date",
@@ -225,9 +257,10 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
 
     reset_folders = d.filter("reset").select("folder")
     cols = [f.name for f in MESSAGE_SCHEMA.fields]
+    written = _sized(fetched.filter("ok").select("folder", "uid")) if materialize else indexed.select("folder", "uid")
     kept = (messages.select(*cols)
-            .join(reset_folders, "folder", "left_anti")
-            .join(indexed.select("folder", "uid"), ["folder", "uid"], "left_anti"))
+            .join(few(reset_folders) if materialize else reset_folders, "folder", "left_anti")
+            .join(written, ["folder", "uid"], "left_anti"))
     upserted = kept.withColumn("fresh", F.lit(False)).unionByName(indexed.select(*cols, F.lit(True).alias("fresh")))
 
     # soft delete: active rows missing from a successful full listing
@@ -238,6 +271,7 @@ def sync(listing: DataFrame, source: DataFrame, messages: DataFrame, state: Data
     held = (messages.filter(~F.col("is_deleted")).select("folder", "uid").join(checked, "folder", "left_semi")
             .join(reset_folders, "folder", "left_anti"))
     gone = missing(held, listed).withColumn("gone", F.lit(True))
+    gone = few(gone.checkpoint(eager=True)) if materialize else gone
     marked = (upserted.join(gone, ["folder", "uid"], "left")
               .withColumn("gone", ~F.col("is_deleted") & F.coalesce("gone", F.lit(False))))
     new_messages = marked.select(

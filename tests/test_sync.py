@@ -169,3 +169,31 @@ def test_repeated_listing_and_source_rows_count_once(spark):
     again = sync(listing(spark, [1, 1, 3, 3]), source(spark, [3, 3]), r.messages, r.state, opts(full_check=True), RUN)
     assert sorted((x["uid"], x["is_deleted"]) for x in again.messages.collect()) == [(1, False), (2, True), (3, False)]
     assert again.metrics.first()["deleted_count"] == 1
+
+
+def test_texts_stream_past_the_keys_of_a_sync(spark, monkeypatch):
+    """No join of a sync sorts texts, whether its keys are few or many; a repeated and a missing message come out as before."""
+    from mailvane.operators import sync as module
+
+    prior = messages(spark, [(1, "Old", "old body"), (2, "Kept", "kept body"), (9, "Gone", "gone body")])
+    src = source(spark, [1, 3, 4]).unionByName(source(spark, [3, 4], failing=[3]))
+    listed, st = listing(spark, [1, 2, 3, 4, 5]), state(spark, [("INBOX", 777, 2, None)])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plain = sync(listed, src, prior, st, opts(), RUN, materialize=False)
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    for many in (None, "shuffle_hash"):
+        if many:
+            monkeypatch.setattr(module, "_sized", lambda keys: keys.hint(many))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            r = sync(listed, src, prior, st, opts(), RUN)
+            plan = r.messages._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert "SortMergeJoin" not in plan and (not many or "ShuffledHashJoin" in plan)
+        for name in ("messages", "metrics", "state", "worklist", "indexed"):
+            assert rows(getattr(r, name)) == rows(getattr(plain, name)), name
+    assert uids(r.worklist) == [3, 4, 5] and {x["uid"] for x in r.messages.filter("is_deleted").collect()} == {9}
